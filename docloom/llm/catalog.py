@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["simhash"]
+_MODULES = ["simhash", "decision_list"]
 
 
 def queries() -> dict:
