@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts go to Python workers in Arrow batches of few rows, unless the session has asked for a size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, rows)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/docloom/{tag}-{uuid.uuid4().hex}"
 
@@ -49,6 +56,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
