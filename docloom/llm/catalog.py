@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["simhash", "decision_list", "line_crf"]
+_MODULES = ["simhash", "decision_list", "line_crf", "bitplane"]
 
 
 def queries() -> dict:
