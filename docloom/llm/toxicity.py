@@ -25,7 +25,7 @@ from docloom.llm.shared import appended, is_held_out, labelled_sample, read
 #: Bounds: labelled documents of each class, learnt features, tokens that a worker remembers (no result depends on it).
 PER_CLASS, MOST_FEATURES, REMEMBER = 4000, 4000, 500_000
 #: Documents of label 1 that a feature must be in.
-MIN_TOXIC = 5
+MIN_TOXIC = 4
 #: Letters of the model (others count as one more letter, everything else as a gap), look-alikes.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
@@ -196,7 +196,7 @@ def _feature_counts(sample: DataFrame, restorer: Restorer) -> DataFrame:
     return sample.select("text", "label").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def train(rows: list[tuple[list[int], int]], n_features: int, prior: float, steps: int = 300, decay: float = 2e-3) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[list[int], int]], n_features: int, prior: float, steps: int = 300, decay: float = 1e-2) -> tuple[np.ndarray, float]:
     """Logistic weights, none below zero, and bias; classes weigh as in all labelled rows."""
     y = np.array([label for _, label in rows], float)
     doc = np.repeat(np.arange(len(rows)), [len(h) for h, _ in rows])
@@ -226,8 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     ids = labelled_sample(labels, "toxic", per_class)
     sample = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))
     counts = _feature_counts(sample, restorer)
-    rate = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5)
-    best = counts.filter((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") > 4 * F.col("clean"))).orderBy((F.col("toxic") * F.log(rate)).desc(), "feature").limit(most)
+    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    rate = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (n.get(0, 0) + 1) / (n.get(1, 0) + 1)
+    best = counts.filter((F.col("toxic") >= MIN_TOXIC) & (rate > 12)).orderBy((F.col("toxic") * F.log(rate)).desc(), "feature").limit(most)
     names = [r.feature for r in best.select("feature").collect()]
     model = ToxicModel(restorer, dict.fromkeys(names, 0.0), math.log(prior / (1 - prior)))
     if names:
