@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["simhash", "decision_list", "toxicity", "line_crf", "bitplane", "mixing", "line_spread", "warc", "sharding"]
+_MODULES = ["latent", "decision_list", "toxicity", "bitplane", "mixing", "line_spread", "line_crf", "warc", "sharding", "simhash"]
 
 
 def queries() -> dict:
