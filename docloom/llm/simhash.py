@@ -74,7 +74,7 @@ def _links(rows: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray
     root = np.arange(len(fps))
     at, step = np.arange(len(fps)), 1
     while len(at := at[at + step < len(fps)]) and len(at := at[rows[at] == rows[at + step]]):
-        near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= distance]
+        near = at[np.bitwise_count((fps[at] ^ fps[at + step]).view(np.uint64)) <= distance]
         a, b = near, near + step
         while len(a):  # join the trees of a and b, the larger root under the smaller
             ra, rb = root[a], root[b]
