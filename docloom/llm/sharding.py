@@ -41,14 +41,19 @@ def _loads(labels: DataFrame) -> dict[int, int]:
 def propagate(links: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -> DataFrame:
     """(node, shard) for the nodes of links (u, v): seeded labels at first, then moves that leave fewer links cut.
 
-    The seed of a node is a hash of the smallest of itself and its neighbours, so stars start together. In even rounds a node looks at neighbours with smaller numbers, in odd rounds at larger ones, so that two
+    Nodes are lined up by the smallest of themselves and their neighbours (in parts, where that is a hub of more than
+    a quarter of a shard) and the line is cut into equal shards, so stars start together and shards even. In even rounds a node looks at neighbours with smaller numbers, in odd rounds at larger ones, so that two
     neighbours never swap labels. It asks for the shard most of them are in, if that beats its own. A shard grants
     requests while it stays within `room` nodes, neighbours of one node together.
     """
     pairs = links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct()
     sym = written(pairs.union(pairs.select("v", "u")).toDF("u", "v"), "links")
-    nodes = sym.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
-    labels = written(nodes.select("node", F.pmod(F.xxhash64(F.least("node", "least"), F.lit(11)), F.lit(shards)).cast("int").alias("shard")), "labels")
+    nodes = sym.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("lead"))
+    hubs = nodes.groupBy("lead").count()
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / F.lit(max(1, room // 4))).cast("long"))
+    line = with_running(nodes.join(hubs, "lead").select("node", F.lit(0).alias("all"), F.xxhash64("lead", part).alias("h")), "all", "h", F.lit(1), "rank", ["node"])
+    size = max(1, -(-nodes.count() // shards))
+    labels = written(line.select("node", F.floor(F.col("rank") / F.lit(size)).cast("int").alias("shard")), "labels")
     for k in range(rounds):
         seen = sym.filter("v < u" if k % 2 == 0 else "v > u").join(labels.withColumnRenamed("node", "v"), "v")
         votes = seen.groupBy("u", "shard").agg(F.count("*").alias("n"), F.min("v").alias("lead")).withColumnRenamed("u", "node")
