@@ -451,3 +451,42 @@ def citations_deleted_source(spark, sf):
     d = load(spark, sf, "documents").filter("doc_id % 3 <> 0").select("doc_id", "source")
     c = load(spark, sf, "conversations").select("conv_id", "turn").join(d, F.col("conv_id") == F.col("doc_id"), "left")
     return c.select("conv_id", "turn", F.col("doc_id").isNull().alias("deleted"), F.coalesce("source", F.lit("deleted")).alias("source"))
+
+
+# --- streams and sources --------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls FROM events GROUP BY ALL")
+def daily_quota_stream(spark, sf):
+    """The daily quota as a stream over the event files, read to its end."""
+    from uuid import uuid4
+
+    from docloom.streaming.windows import quota_stream, table_stream
+
+    name = f"quota_{uuid4().hex}"
+    run = quota_stream(table_stream(spark, sf, "events")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query(f"""WITH {DOCS},
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i FROM d),
+    b AS (SELECT doc_id, i, floor(i / 3) + 1 AS page, trim(x, ' ' || chr(9)) AS x FROM l),
+    k AS (SELECT *, max(x <> '') OVER (PARTITION BY doc_id, page) AS has, row_number() OVER (PARTITION BY doc_id, page ORDER BY x = '', i) AS n FROM b QUALIFY x <> '' OR (NOT has AND n = 1))
+    SELECT doc_id, CAST(max(page) AS INTEGER) AS page_count, CAST(count(*) FILTER (x <> '') AS INTEGER) AS blocks, md5(string_agg(x, chr(10) ORDER BY page, n) || chr(10)) AS digest FROM k GROUP BY doc_id""")
+def extracted_text(spark, sf):
+    """Lines as blocks of pages of three, put together with offsets."""
+    from docloom.sources.extract import assemble
+
+    lines = norm_docs(spark, sf).select("doc_id", F.posexplode(F.split("norm", "\n")).alias("block_no", "text"))
+    y = F.col("block_no").cast("double")
+    box = F.struct((F.floor(F.col("block_no") / 3) + 1).cast("int").alias("page"), F.lit(72.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 1).alias("y1"))
+    out = assemble(lines.select("doc_id", (F.floor(F.col("block_no") / 3) + 1).cast("int").alias("page"), "block_no", "text", box.alias("bbox")))
+    return out.select("doc_id", "page_count", F.size("blocks").alias("blocks"), F.md5(F.col("full_text").cast("binary")).alias("digest"))
+
+
+@query("""WITH p AS (SELECT page_id, html, len(regexp_extract_all(html, '&(?:[a-zA-Z]{2,10}|#[0-9]{2,5}|#x[0-9a-fA-F]{2,6});')) AS entities FROM pages)
+    SELECT CAST(entities > 3 AS BOOLEAN) AS many_entities, count(*) AS n, sum(entities)::BIGINT AS entities FROM p GROUP BY ALL""")
+def page_entities(spark, sf):
+    n = F.regexp_count("html", F.lit(quality.ENTITY))
+    return load(spark, sf, "pages").select(n.alias("n")).groupBy((F.col("n") > 3).alias("many_entities")).agg(F.count("*").alias("n"), F.sum("n").alias("entities"))
