@@ -35,21 +35,28 @@ from docloom.llm.shared import as_text, fresh_path, read, written
 
 MAGIC = b"DLPLANE1"
 #: Ids of a block; texts' pieces whose ids a worker remembers (then it starts anew; results don't depend on it).
-BLOCK, REMEMBER = 1 << 16, 600_000
+BLOCK, REMEMBER = 1 << 16, 1_000_000
 END = b"\0\0\0\0"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes, with the tokenizers library.
 
     Byte-level BPE never merges across its pre-tokens, so their ids are remembered: a text is cut at single spaces
-    between other characters, which always start a pre-token, and new pieces are cut into pre-tokens. Texts with
-    other spacing, unusual characters, or tokenizers of another kind take the library's way as they are.
+    between other characters, which always start a pre-token, and new pieces are cut into pre-tokens, which the
+    library's model encodes. Texts with other spacing, unusual characters, or tokenizers of another kind take the
+    library's way as they are.
     """
 
     #: The pre-token pattern of the byte-level vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    ODD_SPACE = re.compile(r"\s | \s|^ | $|[^\n -~¡-ſ]")
+    UNUSUAL = re.compile(r"[^\n -~¡-ſ]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,14 +68,16 @@ class Encoder:
         pre = kind.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
         self.split = regex.compile(self.PATTERN).findall if plain else None
-        self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}  # by what follows the space
+        self.tokens: dict[str, bytes] = {}  # pre-tokens that aren't a space and letters
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.split or self.ODD_SPACE.search(text):
+        odd = not self.split or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        if odd or self.UNUSUAL.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
         known = self.pieces
@@ -79,15 +88,29 @@ class Encoder:
             self.learn(new)
         return (self.plain(first) if first else b"") + b"".join(map(known.__getitem__, rest))
 
+    def model(self, token: str) -> bytes:
+        """The ids of one pre-token."""
+        spelt = token.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.library.model.tokenize(spelt)], "<u4").tobytes()
+
     def learn(self, pieces: Iterable[str]) -> None:
-        cut = {p: self.split(f" {p}") for p in pieces}
-        if len(self.tokens) > REMEMBER:
-            self.tokens.clear()
-        if new := list({t for c in cut.values() for t in c if t not in self.tokens}):
-            for t, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.tokens[t] = np.array(e.ids, "<u4").tobytes()
-        for p, c in cut.items():
-            self.pieces[p] = b"".join([self.tokens[t] for t in c])
+        known, tokens = self.pieces, self.tokens
+        if len(tokens) > REMEMBER:
+            tokens.clear()
+        for p in pieces:
+            if p.isalpha():
+                if p not in known:
+                    known[p] = self.model(f" {p}")
+                continue
+            ids = []
+            for t in self.split(f" {p}"):
+                if t[0] == " " and (w := t[1:]).isalpha():
+                    if (x := known.get(w)) is None:
+                        x = known[w] = self.model(t)
+                elif (x := tokens.get(t)) is None:
+                    x = tokens[t] = self.model(t)
+                ids.append(x)
+            known[p] = b"".join(ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
