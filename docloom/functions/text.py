@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What normalization drops or turns into a space.
 INVISIBLE = "​‌‍⁠﻿­"
@@ -32,7 +33,7 @@ VIETNAMESE = _vietnamese()
 BARE = "".join({"đ": "d", "Đ": "D"}.get(c, unicodedata.normalize("NFD", c)[0]) for c in VIETNAMESE)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
