@@ -44,6 +44,15 @@ def ingest(texts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return texts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def advance(statuses: list[str], last: str | None) -> tuple[list[bool], str | None]:
+    """Which of the statuses may follow in turn, and the last one that holds."""
+    valid = []
+    for status in statuses:
+        valid.append(status in TRANSITIONS.get(last, []))
+        last = status if valid[-1] else last
+    return valid, last
+
+
 def lifecycle(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
     """source_id, status, valid per event of a stream (source_id, status, at); sources idle too long in between fail."""
 
@@ -54,11 +63,7 @@ def lifecycle(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
             yield pd.DataFrame({"source_id": [key[0]], "status": ["failed"], "valid": [True]})
             return
         rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-        out = []
-        for status in rows["status"]:
-            ok = status in TRANSITIONS.get(last, [])
-            out.append((key[0], status, ok))
-            last = status if ok else last
+        valid, last = advance(rows["status"].tolist(), last)
         if last in (None, "ready", "failed"):
             if state.exists:
                 state.remove()
@@ -67,6 +72,6 @@ def lifecycle(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
         else:
             state.update((last,))
             state.setTimeoutDuration(timeout_minutes * 60_000)
-        yield pd.DataFrame(out, columns=["source_id", "status", "valid"])
+        yield pd.DataFrame({"source_id": key[0], "status": rows["status"].tolist(), "valid": valid})
 
     return events.groupBy("source_id").applyInPandasWithState(step, "source_id string, status string, valid boolean", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
