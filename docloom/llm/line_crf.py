@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from docloom.llm.shared import appended, is_held_out, labelled_sample, read, spare_name
 
 #: Bounds of the training sample: labelled documents of each class, and lines of one of them (evenly spaced windows).
-PER_CLASS, TRAIN_LINES = 1500, 64
+PER_CLASS, TRAIN_LINES = 1200, 48
 SYMBOLS, UPPER, DIGITS, MARKS, STOPS = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b".,;:"
 N_OWN = 12
 #: Own features of a line, the same of the lines before and after it, and a constant.
@@ -103,6 +103,7 @@ def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _expect(s: np.ndarray, on: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of good lines, and expected counts of the moves, over padded texts."""
     n, t = s.shape
+    s = s.astype(np.float64)
     e, m = np.stack([np.ones_like(s), np.exp(np.clip(s, -30, 30))], axis=2), np.exp(moves)
     a, b = np.zeros((n, t, 2)), np.ones((n, t, 2))
     a[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
@@ -131,7 +132,9 @@ def train(xs: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, p
     flat = x[on]
     mean, scale = flat.mean(axis=0), flat.std(axis=0) + 1e-3
     mean[-1], scale[-1] = 0, 1
-    x = (x - mean) / scale
+    x -= mean
+    x /= scale
+    del flat
     y = np.where(on, labels[:, None] == 1, False)
     w, moves = np.zeros(N_FEATURES), np.zeros((2, 2))
     weight = np.zeros(on.shape)
@@ -142,14 +145,14 @@ def train(xs: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, p
         inner = on[:, 1:]
         seen = np.array([[(inner & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
         for k in range(1, steps + 1):
-            p, pairs = _expect(x @ w, on, moves)
-            gw = (np.where(on, y - p, 0)[:, :, None] * x).sum(axis=(0, 1)) / on.sum() - decay * w
+            p, pairs = _expect(x @ w.astype(np.float32), on, moves)
+            gw = np.tensordot(np.where(on, y - p, 0).astype(np.float32), x, 2) / on.sum() - decay * w
             gm = (seen - pairs) / on.sum() - decay * moves
             mw, vw, mm, vm = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2, 0.9 * mm + 0.1 * gm, 0.99 * vm + 0.01 * gm**2
             rate = 0.15 / (1 - 0.9**k)
             w = w + rate * mw / (np.sqrt(vw / (1 - 0.99**k)) + 1e-6)
             moves = moves + rate * mm / (np.sqrt(vm / (1 - 0.99**k)) + 1e-6)
-        p, _ = _expect(x @ w, on, moves)
+        p, _ = _expect(x @ w.astype(np.float32), on, moves)
         if r < rounds - 1:
             bad = labels == 0
             worst = np.argmax(np.where(on, (1 - p) * weight, -1), axis=1)
