@@ -136,7 +136,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", membe
     own = F.array(F.col("source").cast("string")) if members is None else members
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     uses = planned(numbered, row, id_col, text_col, own, **options).filter("uses > 0").select(F.col("row").alias(row), F.col("uses").alias(f"{row}_uses"))
-    both = numbered.join(written(uses, "mix-uses"), row)
+    both = numbered.join(written(uses, "mix-uses").hint("merge"), row)  # one plan at every size
     return both.withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{row}_uses")))).select(*docs.columns)
 
 

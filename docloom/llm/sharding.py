@@ -122,7 +122,7 @@ def with_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, tex
     base = written(numbered.select(F.col(row).alias("row"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(7), text).alias("g2")), "shard-rows")
     placed = assign(base, equal_text_links(base, base.count() // shards // 4), shards, rounds)
     names = [n if n not in {c.lower() for c in docs.columns} else spare_name(docs, n) for n in ("shard", "slot")]
-    return numbered.join(placed.toDF(row, *names), row).drop(row)
+    return numbered.join(placed.toDF(row, *names).hint("merge"), row).drop(row)  # one plan at every size
 
 
 def op9_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

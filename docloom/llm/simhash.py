@@ -166,7 +166,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = marked.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("n"), "id", "row")).alias("best"))
     best = best.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     chosen = written(best.select(F.col("best.row").alias(row)), "simhash-kept")
-    return numbered.join(chosen, row, "left_semi").select(*docs.columns)
+    return numbered.join(chosen.hint("merge"), row, "left_semi").select(*docs.columns)  # one plan at every size
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
