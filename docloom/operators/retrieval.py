@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +28,28 @@ def top(df: DataFrame, key: str, item: str, n: int = TOP_N, score: str = "score"
     return df.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= n)
 
 
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame], key: str = "query_id") -> DataFrame:
+    """The union of search(block) over blocks of about QUERY_BLOCK queries, cut by a hash of their key."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if blocks == 1:
+        return search(queries)
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [search(queries.filter(block == k)) for k in range(blocks)])
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, n: int = TOP_N, scope: Column | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rnk): exact search of a stated, bounded set of queries against all vectors.
+    """(query_id, vec_id, score, rnk): exact search of any number of queries against all vectors.
 
     queries: query_id, qvec [, q_scope]; vectors: vec_id, embedding [, scope]. A scope restricts the rows before
-    anything is ranked. The query side is broadcast in blocks of QUERY_BLOCK, and more are refused.
+    anything is ranked. The query side is broadcast in blocks of about QUERY_BLOCK, one scan of the vectors each.
     """
-    asked = queries.limit(QUERY_BLOCK + 1)
-    if asked.count() > QUERY_BLOCK:
-        raise ValueError(f"pass at most {QUERY_BLOCK} queries at a time")
-    pairs = vectors.join(F.broadcast(asked), F.lit(True) if scope is None else scope)
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
-    return top(scored, "query_id", "vec_id", n)
+
+    def search(asked: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(asked), F.lit(True) if scope is None else scope)
+        scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+        return top(scored, "query_id", "vec_id", n)
+
+    return in_blocks(queries, search)
 
 
 def postings(df: DataFrame, key: str = "doc_id", norm: str = "norm") -> DataFrame:

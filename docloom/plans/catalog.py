@@ -288,8 +288,12 @@ def _branches(spark, sf):
     v = load(spark, sf, "embeddings")
     ids = v.select("vec_id")
     asked = ids.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
-    near = ids.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).withColumn("score", -F.abs(F.col("vec_id") - F.col("query_id")).cast("double"))
-    return _vector(spark, sf), retrieval.top(near, "query_id", "vec_id", 50)
+
+    def nearest(some):
+        near = ids.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).withColumn("score", -F.abs(F.col("vec_id") - F.col("query_id")).cast("double"))
+        return retrieval.top(near, "query_id", "vec_id", 50)
+
+    return _vector(spark, sf), retrieval.in_blocks(asked, nearest)
 
 
 @query(f"WITH {FUSED} SELECT query_id, vec_id, score, rnk FROM ft")

@@ -58,3 +58,14 @@ def test_retrieval_never_reads_the_cache(spark):
     for name in ("keyword_topk", "vector_topk", "rrf_fusion"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
         assert "cache" not in plan and "expires_at" not in plan
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    """Queries beyond a block are searched in further blocks, with the same rows."""
+    from docloom.plans import catalog
+
+    sf, names = "/root/testdata/sf0.001", ("vector_topk", "vector_topk_scoped", "rrf_fusion")
+    want = {n: sorted(map(tuple, catalog.QUERIES[n](spark, sf).collect())) for n in names}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 9)
+    for n in names:
+        assert sorted(map(tuple, catalog.QUERIES[n](spark, sf).collect())) == want[n]
