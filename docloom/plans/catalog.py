@@ -463,14 +463,9 @@ def citations_deleted_source(spark, sf):
 @query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls FROM events GROUP BY ALL")
 def daily_quota_stream(spark, sf):
     """The daily quota as a stream over the event files, read to its end."""
-    from uuid import uuid4
+    from docloom.streaming.windows import quota_stream, table_stream, to_end
 
-    from docloom.streaming.windows import quota_stream, table_stream
-
-    name = f"quota_{uuid4().hex}"
-    run = quota_stream(table_stream(spark, sf, "events")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return to_end(quota_stream(table_stream(spark, sf, "events")))
 
 
 @query(f"""WITH {DOCS},

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,28 @@ def failure_stream(failures: DataFrame, watermark: str = "10 minutes") -> DataFr
     return timed.groupBy("user_id", F.window("ts", "5 minutes", "1 minute")).agg(F.count("*").alias("failures"))
 
 
+def to_end(counts: DataFrame) -> DataFrame:
+    """The result of an aggregated stream read to its end, from Parquet files: no row passes through the driver."""
+    spark = counts.sparkSession
+    folder = f"{_shared_dir(spark)}/stream-{uuid4().hex}"
+    done = []
+
+    def each(batch: DataFrame, epoch: int) -> None:  # complete mode: the last epoch has the whole result
+        batch.write.mode("overwrite").parquet(f"{folder}/epoch-{epoch}")
+        done.append(epoch)
+
+    run = counts.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if not done:
+        return spark.createDataFrame([], counts.schema)
+    return spark.read.schema(counts.schema).parquet(f"{folder}/epoch-{max(done)}")
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return base.rstrip("/")
+
+
 def ingest(texts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that normalizes, grades and chunks each micro-batch (doc_id, text) and hands the chunks to sink."""
 

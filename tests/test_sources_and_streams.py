@@ -67,3 +67,10 @@ def test_quota_stream_equals_batch(spark):
     sf = "/root/testdata/sf0.001"
     batch = catalog.QUERIES["daily_quota"](spark, sf).select("user_id", "day", "calls")
     assert sorted(map(tuple, catalog.QUERIES["daily_quota_stream"](spark, sf).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_quota_stream_leaves_its_rows_in_files(spark):
+    from docloom.plans import catalog
+
+    out = catalog.QUERIES["daily_quota_stream"](spark, "/root/testdata/sf0.001")
+    assert out.inputFiles() and out.count() > 0
