@@ -50,8 +50,8 @@ class Encoder:
 
     Byte-level BPE never merges across its pre-tokens, so their ids are remembered: a text is cut at single spaces
     between other characters, which always start a pre-token, and new pieces are cut into pre-tokens, which the
-    library's model encodes. Texts with other spacing, unusual characters, or tokenizers of another kind take the
-    library's way as they are.
+    library's model encodes. Texts with other spacing, unusual characters, or an added token's string, and tokenizers
+    of another kind, take the library's way as they are.
     """
 
     #: The pre-token pattern of the byte-level vocabulary.
@@ -62,9 +62,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
+        added = [t["content"] for t in kind.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         pre = kind.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
         self.split = regex.compile(self.PATTERN).findall if plain else None
@@ -77,7 +78,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         odd = not self.split or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
-        if odd or self.UNUSUAL.search(text):
+        if odd or self.UNUSUAL.search(text) or (self.added and self.added.search(text)):
             return self.plain(text)
         first, *rest = text.split(" ")
         known = self.pieces

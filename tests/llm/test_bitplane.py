@@ -47,3 +47,12 @@ def test_one_document_by_itself(spark, corpus):
     reader = bitplane.Reader(files[0].uri)
     for i, (_, _, raw) in enumerate(reader.documents()):
         assert reader.document(i).tobytes() == raw
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_the_librarys(name):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    tool = bitplane.Encoder(public_tokenizers.path(name))
+    for token in [t.content for t in plain.get_added_tokens_decoder().values()]:
+        for t in (f"one {token} two", f"one{token}two", token, f"{token[:-1]} a"):
+            assert tool.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
