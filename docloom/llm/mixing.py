@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import WORD, as_text, read, spare_name, with_running, written
+from docloom.llm.shared import BUCKET_BITS, WORD, as_text, discard, read, with_place, written
 
 #: Weights of the sources by rank, repeated; the mix's size over the corpus's; uses of a document at most.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Most membership patterns: their table is collected and broadcast, and a larger one is refused.
-MOST_PATTERNS = 100_000
+MOST_PATTERNS = 1000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> list[float]:
@@ -80,11 +80,26 @@ def min_cost_flow(supplies: list[int], members: list[list[int]], quotas: list[in
     return [{e[0] - n: repeats * supplies[p] - e[1] for e in graph[p] if n <= e[0] < start and repeats * supplies[p] > e[1]} for p in range(n)]
 
 
-def planned(docs: DataFrame, row: str, id_col: str, text_col: str, members: Column, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """row, doc_id, size, own (its first source), source_size, target, uses (times that the mix takes the document)."""
-    text = as_text(text_col)
-    base = docs.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), members.alias("members"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"))
-    base = written(base.withColumn("pattern", F.to_json(F.struct("members"), {"ignoreNullFields": "false"})), "mix-rows")
+def _membership(members: Column) -> Column:
+    """The distinct sources in order, null last; none, or a null array, is the null source alone."""
+    return F.when(F.size(members) > 0, F.array_sort(F.array_distinct(members))).otherwise(F.array(F.lit(None).cast("string")))
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str, seed: int, file: Column, at: Column) -> Column:
+    """What the seeded order of documents goes by: an even hash, then the id and the place."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col), as_text(text_col))
+    return F.struct(h.bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("h"), F.col(id_col).alias("id"), file.alias("f"), at.alias("at"))
+
+
+def planned(base: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """One row for each pattern of the written table base (members, pattern, size, key): pattern, own (its first
+    source), source_size, target, whole (times that it is taken as a whole), cut (the last key taken once more) and
+    last (the key of one document more, which closes the gap best); null where there is none.
+
+    Only sums by pattern and leading bits of the hash, and then the one group of bits where a pattern's words run
+    out, are put in order.
+    """
+    spark = base.sparkSession
     found = base.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -94,7 +109,7 @@ def planned(docs: DataFrame, row: str, id_col: str, text_col: str, members: Colu
     rank = {s: i for i, s in enumerate(sources)}
     sizes = [0] * len(sources)
     for r in found:
-        for s in {*r.members}:
+        for s in r.members:
             sizes[rank[s]] += r.size
     goals = targets(sizes, weights, share, repeats)
     flow = min_cost_flow([r.size for r in found], [sorted({rank[s] for s in r.members}) for r in found], [round(g) for g in goals], repeats)
@@ -103,41 +118,67 @@ def planned(docs: DataFrame, row: str, id_col: str, text_col: str, members: Colu
         words, first = sum(f.values()), rank[r.members[0]]
         whole = words // r.size if r.size else 0
         plan.append((r.pattern, r.members[0], sizes[first], goals[first], whole, words - whole * r.size))
-    table = F.broadcast(docs.sparkSession.createDataFrame(plan, "pattern string, own string, source_size long, target double, whole long, rest long"))
-    ordered = with_running(base.drop("members"), "pattern", "h", F.col("size"), "before", ["doc_id", "row"]).join(table, "pattern")
-    ordered = written(ordered.withColumn("more", (F.col("size") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))), "mix-order")
+    table = spark.createDataFrame(plan, "pattern string, own string, source_size long, target double, whole long, rest long").coalesce(1)
+    bits = F.shiftright(F.col("key.h"), 64 - BUCKET_BITS).cast("int")  # signed: the order of the keys
+    before = Window.partitionBy("pattern").orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)
+    sums = base.filter("size > 0").groupBy("pattern", bits.alias("bits")).agg(F.sum("size").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    open_ = sums.join(F.broadcast(table), "pattern").filter((F.col("base") <= F.col("rest")) & (F.col("rest") < F.col("base") + F.col("sum")))
+    open_ = open_.select("pattern", "bits", (F.col("rest") - F.col("base")).alias("left"))
+    inside = base.filter("size > 0").withColumn("bits", bits).join(F.broadcast(open_), ["pattern", "bits"])  # one row a pattern
+    upto = Window.partitionBy("pattern").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    taken = F.when(F.col("upto") <= F.col("left"), F.struct("key", "upto"))
+    cuts = inside.withColumn("upto", F.sum("size").over(upto)).groupBy("pattern", "bits").agg(F.max(taken).alias("cut"), F.first("left").alias("left"))
+    # a key below the bits where nothing of these is taken
+    floor = F.struct(F.shiftleft(F.col("bits").cast("long"), 64 - BUCKET_BITS).alias("h"), F.lit(None).cast(base.schema["key"].dataType["id"].dataType).alias("id"), F.lit(None).cast("long").alias("f"), F.lit(None).cast("long").alias("at"))
+    cuts = written(cuts.select("pattern", F.coalesce("cut.key", floor).alias("cut"), (F.col("left") - F.coalesce("cut.upto", F.lit(0))).alias("gap")), "mix-cuts")
     # what the documents in order leave open, one more document of the pattern covers best
-    gaps = ordered.groupBy("pattern").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("gap")).filter("gap > 0")
     off = F.abs(F.col("size") - F.col("gap"))
-    spare = ordered.filter(~F.col("more") & (F.col("size") > 0)).join(F.broadcast(gaps), "pattern").filter(off < F.col("gap"))
-    last = spare.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "h", "row")).alias("last")).select(F.col("last.row").alias("last"), "pattern")
-    ordered = ordered.join(F.broadcast(last), "pattern", "left")
-    more = F.col("more") | F.coalesce(F.col("row") == F.col("last"), F.lit(False))
-    uses = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + more.cast("long"))
-    return ordered.select("row", "doc_id", "size", "own", "source_size", "target", uses.alias("uses"))
+    spare = base.filter("size > 0").join(F.broadcast(cuts.filter("gap > 0")), "pattern").filter((F.col("key") > F.col("cut")) & (off < F.col("gap")))
+    last = spare.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "key")).alias("last")).select("pattern", F.col("last.key").alias("last"))
+    return written(table.join(F.broadcast(cuts), "pattern", "left").join(F.broadcast(last), "pattern", "left").drop("rest", "gap"), "mix-plan")
+
 
+def _uses(size_is_positive: Column) -> Column:
+    """How often the mix takes a document, from the columns of the plan and its key."""
+    once = F.coalesce(F.col("key") <= F.col("cut"), F.lit(False)) | F.coalesce(F.col("key") == F.col("last"), F.lit(False))
+    return F.when(size_is_positive, F.col("whole") + once.cast("long")).otherwise(F.lit(0).cast("long"))
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: Column | None = None, **options) -> DataFrame:
+
+def _base(docs: DataFrame, id_col: str, text_col: str, members: Column | None, seed: int, file: Column, at: Column) -> DataFrame:
+    own = _membership(F.array(F.col("source").cast("string")) if members is None else members)
+    size = F.regexp_count(as_text(text_col), F.lit(WORD)).cast("long")
+    base = docs.select(F.col(id_col).alias("doc_id"), own.alias("members"), size.alias("size"), _key(docs, id_col, text_col, seed, file, at).alias("key"))
+    return written(base.withColumn("pattern", F.to_json(F.struct("members"), {"ignoreNullFields": "false"})), "mix-rows")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: Column | None = None, seed: int = 0, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs; members: an array of its sources (source alone).
 
     Sizes count words; null texts have none and are never taken. A null source is a source like any other, the last
-    by rank. Documents are taken whole, so a source misses its target by less than one document. Rows with equal
-    ids and texts are told apart by place, which changes no figure. Other columns are ignored; an empty table gives
-    an empty result. The same rows always give the same mix, in whatever order or files they come.
+    by rank; an empty or null array of members is that source; the order and repeats in an array don't matter.
+    Documents are taken whole, so a source misses its target by less than one document. Rows with equal ids and
+    texts are told apart by place, which changes no figure. Other columns are ignored; an empty table gives an empty
+    result. The same rows always give the same mix, in whatever order or files they come.
+    """
+    base = _base(docs, id_col, text_col, members, seed, F.lit(0).cast("long"), F.monotonically_increasing_id())
+    out = base.join(F.broadcast(planned(base, **options)), "pattern")  # at most MOST_PATTERNS rows
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _uses(F.col("size") > 0)).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: Column | None = None, seed: int = 0, stored: bool = False, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, columns as they were. stored: as in with_place.
+
+    A row is taken by comparing its key with its pattern's, where it lies: no row of docs is shuffled.
     """
-    own = F.array(F.col("source").cast("string")) if members is None else members
-    out = planned(docs.withColumn("_row", F.monotonically_increasing_id()), "_row", id_col, text_col, own, **options)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("uses")).alias("taken"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: Column | None = None, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, columns as they were."""
-    row = spare_name(docs, "row")
-    own = F.array(F.col("source").cast("string")) if members is None else members
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    uses = planned(numbered, row, id_col, text_col, own, **options).filter("uses > 0").select(F.col("row").alias(row), F.col("uses").alias(f"{row}_uses"))
-    both = numbered.join(written(uses, "mix-uses").hint("merge"), row)  # one plan at every size
-    return both.withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{row}_uses")))).select(*docs.columns)
+    placed, file, at = with_place(docs, stored)
+    base = _base(placed, id_col, text_col, members, seed, F.col(file), F.col(at))
+    plan = planned(base, **options)
+    discard(base)
+    own = _membership(F.array(F.col("source").cast("string")) if members is None else members)
+    pattern = F.to_json(F.struct(own.alias("members")), {"ignoreNullFields": "false"})
+    whole = placed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), pattern.alias("pattern"), _key(placed, id_col, text_col, seed, F.col(file), F.col(at)).alias("key"), as_text(text_col).rlike(WORD).alias("has"))
+    taken = whole.join(F.broadcast(plan), "pattern").withColumn("uses", _uses(F.col("has"))).filter("uses > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses")))).select("row.*")
 
 
 def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

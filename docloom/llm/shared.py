@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
@@ -14,12 +15,17 @@ from pyspark.sql import window as W
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Buckets that split a rank or a running sum: each is sorted in a task of its own.
 BUCKET_BITS = 12
+#: Rows of a table of keys that may be broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or where that is unset one of this session (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset, a session on one machine (as in tests)
+    gets a folder of its own and any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,16 +42,41 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/docloom/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives the loss of any executor."""
+def written(df: DataFrame, tag: str, **measures: Column) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives the loss of any executor.
+
+    Aggregates of its rows, their number first, are taken while it is written; seen() gives them.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    path, watch = fresh_path(spark, tag), Observation()
+    df.observe(watch, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in measures.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._docloom_path = path
+    out._docloom_path, out._docloom_seen = path, watch.get
     return out
 
 
+def seen(table: DataFrame, what: str = "rows") -> int:
+    """What written() measured of a table."""
+    return table._docloom_seen[what]
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A table of written() as one side of a join: broadcast if it has few rows, else sorted and merged."""
+    return F.broadcast(table) if seen(table) <= MOST_BROADCAST else table.hint("merge")
+
+
+def with_place(docs: DataFrame, stored: bool = False) -> tuple[DataFrame, str, str]:
+    """docs with two columns that tell its rows apart in every reading, and their names: the file and the place in it.
+
+    stored: docs is a Parquet table as it was read; anything else is written first, since a row that is computed
+    again may come elsewhere.
+    """
+    docs = docs if stored else written(docs, "rows")
+    at = docs.metadataColumn("_metadata")
+    names = spare_name(docs, "file"), spare_name(docs, "at")
+    return docs.withColumns({names[0]: F.xxhash64(at["file_path"]), names[1]: at["row_index"]}), *names
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that written() made and that no later plan reads."""
     for df in tables:
@@ -84,11 +115,12 @@ def bucket_of(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def with_running(df: DataFrame, group: str, h: str, amount: Column, out: str, ties: list[str]) -> DataFrame:
+def with_running(df: DataFrame, group: str, h: str, amount: Column, out: str, ties: list[str], groups: int | None = None) -> DataFrame:
     """Add the sum of amount over the rows of the same group that come before in the order of (unsigned h, ties).
 
     Sums by (group, leading bits of h) come first, and only they are summed up in order; rows are sorted within
-    their bucket. No task sorts a whole group. Values in h should be spread evenly.
+    their bucket. No task sorts a whole group. Values in h should be spread evenly. groups: how many there are at most;
+    the sums of few groups are broadcast.
     """
     keyed = df.withColumn("_bucket", bucket_of(F.col(h))).withColumn("_amount", amount.cast("long"))
     before = W.Window.partitionBy(group).orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
@@ -96,6 +128,8 @@ def with_running(df: DataFrame, group: str, h: str, amount: Column, out: str, ti
         keyed.groupBy(group, "_bucket").agg(F.sum("_amount").alias("_sum"))
         .select(F.col(group).alias("_group"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     )
+    if groups and groups << BUCKET_BITS <= MOST_BROADCAST:
+        sums = F.broadcast(sums)
     inside = W.Window.partitionBy(group, "_bucket").orderBy(h, *ties).rowsBetween(W.Window.unboundedPreceding, -1)
     return (
         keyed.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))

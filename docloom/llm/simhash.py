@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.components import connected_components
-from docloom.llm.shared import appended, read, spare_name, written
+from docloom.llm.shared import appended, discard, read, sized, with_place, written
 
 #: Fingerprints of one key that are compared in one cell; larger keys are cut into chunks, and cells hold two chunks.
 CELL = 1024
@@ -149,24 +149,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(link_fingerprints(least, distance, blocks)).withColumnsRenamed({"node": "fp", "root": "root"})
     named = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(named.join(names, "root").select("fp", "component_id"), "simhash-classes")
+    classes = written(named.join(names, "root").select("fp", "component_id"), "simhash-classes")  # a table: Spark may split a hot fingerprint
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, width: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
     """The rows of docs that stay when one row of each component does: that with the least id, nulls last.
 
-    Columns are those of docs. Of rows that are equal in all these respects, the first by place stays.
+    Columns are those of docs. Of rows that are equal in all these respects, the first by file and place stays.
+    stored: as in with_place. What is joined with the rows is the table of those that go, broadcast while it is small.
     """
-    row, fp = spare_name(docs, "row"), spare_name(docs, "fp")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    slim = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = written(with_fingerprint(slim, "text", "fp", options.get("width", 3)).select("row", "id", "fp"), "simhash")
-    roots = connected_components(link_fingerprints(marked.select("fp"), options.get("distance", 3), options.get("blocks", 5)))
-    best = marked.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("n"), "id", "row")).alias("best"))
-    best = best.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    chosen = written(best.select(F.col("best.row").alias(row)), "simhash-kept")
-    return numbered.join(chosen.hint("merge"), row, "left_semi").select(*docs.columns)  # one plan at every size
+    placed, file, at = with_place(docs, stored)
+    slim = placed.select(F.col(file).alias("f"), F.col(at).alias("at"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    marked = written(with_fingerprint(slim, "text", "fp", width).select("f", "at", "id", "fp"), "simhash")
+    best = marked.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("n"), "id", "f", "at")).alias("best"), F.count("*").alias("n"))
+    best = written(best, "simhash-best")
+    roots = connected_components(link_fingerprints(best.select("fp"), distance, blocks))
+    named = best.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = named.groupBy("root").agg(F.min("best").alias("stays"), F.sum("n").alias("rows")).filter("rows > 1")
+    groups = written(named.select("fp", "root").join(groups, "root").select("fp", "stays.f", "stays.at"), "simhash-groups")
+    other = (F.col("m.f") != F.col("g.f")) | (F.col("m.at") != F.col("g.at"))
+    gone = marked.alias("m").join(groups.alias("g"), "fp").filter(other).select(F.col("m.f").alias(file), F.col("m.at").alias(at))
+    gone = written(gone, "simhash-gone")
+    discard(marked, best, groups)
+    return placed.join(sized(gone), [file, at], "left_anti").select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
