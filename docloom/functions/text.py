@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,17 +38,31 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def _changed() -> tuple[str, str]:
+    """The characters that normalization turns into a space or drops, and the spaces for the first of them."""
+    spaces = re.sub("(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), ODD_SPACES[1:-1])
+    controls = "".join(chr(c) for c in (*range(9), 11, 12, *range(14, 32), *range(127, 160)))
+    return spaces + controls + INVISIBLE, " " * len(spaces)
+
+
 def prepared(text: Column) -> Column:
-    """All steps of normalization before NFC; null becomes empty."""
-    steps = [("\r\n|\r", "\n"), (CONTROLS, ""), (f"[{INVISIBLE}]", ""), (ODD_SPACES, " ")]
-    return reduce(lambda t, s: F.regexp_replace(t, *s), steps, F.coalesce(text, F.lit("")))
+    """All steps of normalization before NFC; null becomes empty. One look at a text tells whether it needs any."""
+    t = F.coalesce(text, F.lit(""))
+    lines = F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, "\r\n?", "\n")).otherwise(t)
+    return F.when(t.rlike(f"[\r{CONTROLS[1:-1]}{INVISIBLE}{ODD_SPACES[1:-1]}]"), F.translate(lines, *_changed())).otherwise(t)
 
 
 def normalized(df: DataFrame, col: str = "text", out: str = "norm") -> DataFrame:
-    """df with its text in normal form. Only rows with characters that NFC may change go through Python."""
-    ready = df.withColumn(out, prepared(F.col(col)))
-    odd = F.col(out).rlike(STABLE)
-    return ready.filter(~odd).unionByName(ready.filter(odd).withColumn(out, nfc(out)))
+    """df with its text in normal form. Only rows with characters that NFC may change go through Python; which these
+    are is seen on the raw text, so that each row is prepared once."""
+    odd = F.coalesce(F.col(col).rlike(STABLE), F.lit(False))
+    ready = prepared(F.col(col))
+    return df.filter(~odd).withColumn(out, ready).unionByName(df.filter(odd).withColumn(out, nfc(ready)))
+
+
+def is_normalized(text: Column, norm: Column) -> Column:
+    """Whether a text is its own normal form."""
+    return text.isNotNull() & (text == norm)
 
 
 def strip_accents(norm: Column) -> Column:

@@ -26,38 +26,45 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def signals(df: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
-    """Counts and ratios of each text; empty texts get zeros."""
+def _tokens_with(text: Column, chars: str) -> Column:
+    """How many tokens between white space hold one of chars; texts without any aren't gone through by token."""
+    one = f"(?<![^{SPACE}])[^{SPACE}{chars}]*+[{chars}][^{SPACE}]*+"
+    return F.when(text.rlike(f"[{chars}]"), _count(text, one)).otherwise(F.lit(0).cast("long"))
+
+
+def signals(df: DataFrame, key: str = "doc_id", col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and ratios of each text, with the columns of keep; empty texts get zeros."""
     t = F.col("norm")
-    out = normalized(df.select(key, col), col).withColumns({
+    digit_runs = F.regexp_extract_all(t, F.lit(f"(?<![{WORD}])[{WORD}&&[^\\p{{Nd}}]]*+\\p{{Nd}}[{WORD}]*+"), F.lit(0))
+    out = normalized(df.select(key, col, *keep), col).withColumns({
         "char_count": F.char_length(t).cast("long"),
-        "letters": _count(t, "\\p{L}"),
-        "marked": _count(t, f"[{VIETNAMESE}]"),
+        "letters": F.char_length(F.regexp_replace(t, "\\P{L}+", "")).cast("long"),
+        "marked": (F.char_length(t) - F.char_length(F.translate(t, VIETNAMESE, ""))).cast("long"),
         "words": _count(t, LETTER_WORD),
         "bare_words": F.regexp_extract_all(F.lower(strip_accents(t)), F.lit(LETTER_WORD), F.lit(0)),
-        "loose": F.regexp_extract_all(t, F.lit(f"[^{SPACE}]+"), F.lit(0)),
-        "mojibake": _count(t, MOJIBAKE),
-        "replaced": _count(t, "�"),
-        "html_entity_count": _count(t, ENTITY),
-        "runs": F.regexp_extract_all(t, F.lit(f"[{WORD}]{{4,}}"), F.lit(0)),
+        "loose": _count(t, f"[^{SPACE}]++"),
+        "tcvn3": _tokens_with(t, "¡-¿"),
+        "vni": _tokens_with(t, "ñöøÑÖØ"),
+        "mojibake": F.when(t.rlike("[ÃÂáÆ]"), _count(t, MOJIBAKE)).otherwise(F.lit(0).cast("long")),
+        "replaced": (F.char_length(t) - F.char_length(F.translate(t, "\ufffd", ""))).cast("long"),
+        "html_entity_count": F.when(F.contains(t, F.lit("&")), _count(t, ENTITY)).otherwise(F.lit(0).cast("long")),
+        "weird": F.size(F.filter(digit_runs, lambda w: (F.char_length(w) >= 4) & w.rlike("[a-zA-ZÀ-ỹ]"))).cast("long"),
     })
     n = F.col("char_count")
-    hits = lambda arr, f: F.size(F.filter(arr, f)).cast("long")
-    function = hits("bare_words", lambda w: w.isin(FUNCTION_WORDS))
-    tcvn3 = _share(hits("loose", lambda w: w.rlike("[¡-¿]")), F.size("loose"))
-    vni = _share(hits("loose", lambda w: w.rlike("[ñöøÑÖØ]")), F.size("loose"))
-    weird = hits("runs", lambda w: w.rlike("[a-zA-ZÀ-ỹ]") & w.rlike("\\p{Nd}"))
+    function = F.size(F.filter("bare_words", lambda w: w.isin(FUNCTION_WORDS))).cast("long")
+    legacy = lambda c: _share(F.col(c), F.col("loose")) >= LEGACY_SHARE
     return out.select(
         key,
+        *keep,
         n,
         _share(F.col("letters"), n).alias("letter_ratio"),
         ((_share(function, F.size("bare_words")) >= 0.04) & (F.size("bare_words") >= 20)).alias("looks_vietnamese"),
         _share(F.col("marked"), F.col("letters")).alias("diacritic_ratio"),
-        F.when(tcvn3 >= LEGACY_SHARE, "tcvn3").when(vni >= LEGACY_SHARE, "vni").alias("legacy_encoding"),
+        F.when(legacy("tcvn3"), "tcvn3").when(legacy("vni"), "vni").alias("legacy_encoding"),
         _share(F.col("mojibake"), n).alias("mojibake_ratio"),
         _share(F.col("replaced"), n).alias("replacement_ratio"),
         "html_entity_count",
-        _share(weird, F.col("words")).alias("weird_alnum_ratio"),
+        _share(F.col("weird"), F.col("words")).alias("weird_alnum_ratio"),
     )
 
 
@@ -86,10 +93,10 @@ def issues() -> Column:
     return F.array_compact(F.array(*[F.when(when, code) for when, code in found]))
 
 
-def assess(df: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
+def assess(df: DataFrame, key: str = "doc_id", col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Signals, score, issues, usable and where the gate sends the text (index or ocr)."""
     usable = F.col("legacy_encoding").isNull() & (F.col("replacement_ratio") < 0.01)
-    return signals(df, key, col).withColumns({"score": score(), "issues": issues(), "usable": usable}).withColumn("route", F.when(F.col("score") < MIN_QUALITY, "ocr").otherwise("index"))
+    return signals(df, key, col, keep).withColumns({"score": score(), "issues": issues(), "usable": usable}).withColumn("route", F.when(F.col("score") < MIN_QUALITY, "ocr").otherwise("index"))
 
 
 _LOOSE = "regexp_extract_all(t, '[^ \\t\\n\\x{2028}\\x{2029}]+')"

@@ -1,11 +1,13 @@
 """Sentences, headings, sections and chunks with exact character offsets.
 
-Sentence ends are one regular expression over the whole text; offsets are running sums within a document. Packing is
-a fold over the units of one section, which carries only where the current chunk starts.
+Sentence ends are one regular expression over the whole text; packing is a fold over the units of one section, in the
+row of its document. Only numbers of pieces, their lengths and finished chunks leave it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ MARK = "\u0001"  # cannot occur in normalized text
 #: A run of closing punctuation and white space that ends a sentence: what stands before and after decides.
 _START = f"(?:^|[{SPACE}.])"
 SENTENCE_END = (
-    f"(?<!{_START}(?iu:{'|'.join(ABBREVIATIONS)}))(?<!{_START}\\p{{L}})(?<![.!?…])"
+    f"(?=[.!?…])(?<!{_START}(?iu:{'|'.join(ABBREVIATIONS)}))(?<!{_START}\\p{{L}})(?<![.!?…])"
     f"([.!?…]+[\"'”’)\\]]*[{SPACE}]+)(?=[\\p{{Lu}}\\p{{Lt}}\\p{{Nd}}\"'“‘(\\-–—•])"
 )
 #: A number before a single mark and a digit after it stay together.
-NUMBER_GAP = f"(?<=\\p{{Nd}})([.!?…]+[\"'”’)\\]]*[{SPACE}]+)(?=\\p{{Nd}})"
+NUMBER_GAP = f"(?=[.!?…])(?<=\\p{{Nd}})([.!?…]+[\"'”’)\\]]*[{SPACE}]+)(?=\\p{{Nd}})"
 
 
 def sentence_array(norm: Column) -> Column:
@@ -35,107 +37,135 @@ def sentence_array(norm: Column) -> Column:
     return F.filter(F.split(F.translate(cut, "\u0002", ""), MARK), lambda s: s != "")
 
 
-def spans(df: DataFrame, pieces: Column, key: str = "doc_id", base: Column | None = None, name: str = "sent_no") -> DataFrame:
-    """key, number, char_start, char_end of consecutive pieces of each text."""
-    each = df.select(key, (F.lit(0) if base is None else base).alias("_base"), F.posexplode(pieces).alias(name, "_piece"))
+def spans(df: DataFrame, pieces: Column, key: str = "doc_id", name: str = "sent_no") -> DataFrame:
+    """key, number, char_start, char_end of consecutive pieces of each text; only their lengths are shuffled."""
+    each = df.select(key, F.posexplode(F.transform(pieces, F.char_length)).alias(name, "_len"))
     upto = Window.partitionBy(key).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = each.withColumn("char_end", (F.col("_base") + F.sum(F.char_length("_piece")).over(upto)).cast("int"))
-    return end.select(key, name, (F.col("char_end") - F.char_length("_piece")).alias("char_start"), "char_end", "_piece")
+    end = each.withColumn("char_end", F.sum("_len").over(upto).cast("int"))
+    return end.select(key, name, (F.col("char_end") - F.col("_len")).alias("char_start"), "char_end")
 
 
 def sentences(df: DataFrame, key: str = "doc_id", col: str = "norm") -> DataFrame:
-    return spans(df, sentence_array(F.col(col)), key).drop("_piece")
+    return spans(df, sentence_array(F.col(col)), key)
 
 
 def paragraphs(df: DataFrame, key: str = "doc_id", col: str = "norm") -> DataFrame:
     """Blocks between blank lines: key, block_no, char_start, char_end on the text that joins them by newlines."""
     blocks = F.filter(F.split(col, "\n[ \\t]*\n"), lambda b: F.btrim(b, F.lit(" \t\n")) != "")
     blocks = F.transform(blocks, lambda b: F.concat(b, F.lit("\n")))
-    out = spans(df, blocks, key, name="block_no")
+    out = spans(df, blocks, key, "block_no")
     return out.select(key, "block_no", "char_start", (F.col("char_end") - 1).alias("char_end"))
 
 
+_MARKDOWN = f"^(#{{1,6}})[{SPACE}]+([^{SPACE}].*)$"
+_LEGAL = f"^(PHẦN|Phần|CHƯƠNG|Chương|MỤC|Mục|Điều|PHỤ LỤC|Phụ lục)[{SPACE}]+([IVXLCDM]+|[0-9]+)(?![\\p{{L}}\\p{{N}}_])\\.?[{SPACE}]*(.*)$"
+
+
+def heading_array(text: Column) -> Column:
+    """(pos, level, title) of the Markdown and legal headings of a text: a fold over its lines that carries the offset."""
+    levels = F.create_map(*[F.lit(x) for pair in LEGAL_LEVEL.items() for x in pair])
+    kind = "array<struct<pos:int,level:int,title:string>>"
+    none = F.array().cast(kind)
+
+    def heading(pos: Column, line: Column) -> Column:
+        s = F.btrim(line, F.lit(SPACE.replace("\\t", "\t").replace("\\n", "\n")))
+        rest = F.btrim(F.regexp_extract(s, _LEGAL, 3))
+        legal = F.concat(F.regexp_extract(s, _LEGAL, 1), F.lit(" "), F.regexp_extract(s, _LEGAL, 2), F.when(rest != "", F.concat(F.lit(". "), rest)).otherwise(""))
+        md = F.struct(pos.alias("pos"), F.char_length(F.regexp_extract(s, _MARKDOWN, 1)).alias("level"), F.btrim(F.regexp_extract(s, _MARKDOWN, 2)).alias("title"))
+        law = F.struct(pos.alias("pos"), levels[F.lower(F.regexp_extract(s, _LEGAL, 1))].alias("level"), legal.alias("title"))
+        return F.when(s.rlike(_MARKDOWN), F.array(md)).when(s.rlike(_LEGAL), F.array(law)).otherwise(none).cast(kind)
+
+    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+    may = lambda line: line.rlike("[#PCMĐ]")
+    step = lambda acc, line: F.struct(
+        (acc["pos"] + F.char_length(line) + 1).alias("pos"),
+        F.when(may(line), F.concat(acc["out"], heading(acc["pos"], line))).otherwise(acc["out"]).alias("out"),
+    )
+    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["out"])
+
+
+def path_array(found: Column) -> Column:
+    """(pos, path) of each heading of heading_array(): the titles of it and its ancestors."""
+    start = F.struct(F.array().cast("array<struct<level:int,title:string>>").alias("stack"), F.array().cast("array<struct<pos:int,path:string>>").alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        stack = F.concat(F.filter(acc["stack"], lambda x: x["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["title"].alias("title"))))
+        path = F.array_join(F.transform(stack, lambda x: x["title"]), " > ")
+        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(h["pos"].alias("pos"), path.alias("path")))).alias("out"))
+
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
+
+
 def headings(df: DataFrame, key: str = "doc_id", col: str = "norm") -> DataFrame:
     """key, pos, level, title of Markdown and legal headings."""
-    lines = spans(df, F.transform(F.split(col, "\n"), lambda x: F.concat(x, F.lit("\n"))), key, name="line_no")
-    s = F.btrim("_piece", F.lit(" \t\n  "))
-    md, legal = f"^(#{{1,6}})[{SPACE}]+([^{SPACE}].*)$", f"^(PHẦN|Phần|CHƯƠNG|Chương|MỤC|Mục|Điều|PHỤ LỤC|Phụ lục)[{SPACE}]+([IVXLCDM]+|[0-9]+)(?![\\p{{L}}\\p{{N}}_])\\.?[{SPACE}]*(.*)$"
-    levels = F.create_map(*[F.lit(x) for pair in LEGAL_LEVEL.items() for x in pair])
-    rest = F.btrim(F.regexp_extract("s", legal, 3))
-    legal_title = F.concat(F.regexp_extract("s", legal, 1), F.lit(" "), F.regexp_extract("s", legal, 2), F.when(rest != "", F.concat(F.lit(". "), rest)).otherwise(""))
-    found = lines.withColumn("s", s).filter(F.col("s").rlike(md) | F.col("s").rlike(legal))
-    is_md = F.col("s").rlike(md)
-    return found.select(
-        key, F.col("char_start").alias("pos"),
-        F.when(is_md, F.char_length(F.regexp_extract("s", md, 1))).otherwise(levels[F.lower(F.regexp_extract("s", legal, 1))]).cast("int").alias("level"),
-        F.when(is_md, F.btrim(F.regexp_extract("s", md, 2))).otherwise(legal_title).alias("title"),
-    )
+    return df.select(key, F.inline(heading_array(F.col(col))))
+
+
+def heading_paths(df: DataFrame, key: str = "doc_id", col: str = "norm") -> DataFrame:
+    """key, pos, path: the titles of each heading and its ancestors."""
+    return df.select(key, F.inline(path_array(heading_array(F.col(col)))))
+
+
+def pack(units: Column, tokens: Callable[[Column], Column], max_tokens: int, tail: int) -> Column:
+    """(a, b, lo) of greedy chunks of a section's units, first and last unit and first character: one fold.
+
+    A unit that doesn't fit closes the chunk; the next one begins with the longest run of last units, none before the
+    closed chunk's first, that has at most `tail` tokens. Each unit has a token at least, so that run is short.
+    """
+    none = F.array().cast("array<struct<a:int,b:int,lo:int>>")
+    zero = lambda *names: F.struct(*[F.lit(0).alias(x) for x in names])
+    sizes = F.transform(units, lambda u: F.struct(F.char_length(u).alias("len"), tokens(u).alias("n")))
 
+    def fold(sized: Column) -> Column:
+        def back(acc: Column) -> Column:
+            from_ = F.greatest(acc["s"], acc["i"] - tail)
+            last = F.reverse(F.slice(sized, from_ + 1, acc["i"] - from_))
+            more = lambda t, u: F.when((t["open"] == 0) & (t["q"] + u["n"] <= tail), F.struct((t["k"] + 1).alias("k"), (t["q"] + u["n"]).alias("q"), (t["len"] + u["len"]).alias("len"), F.lit(0).alias("open")))
+            return F.aggregate(last, zero("k", "q", "len", "open"), lambda t, u: more(t, u).otherwise(F.struct(t["k"].alias("k"), t["q"].alias("q"), t["len"].alias("len"), F.lit(1).alias("open"))))
 
-def heading_paths(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, pos, path: the titles of a heading and its ancestors."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = found.select("*", *[F.max(F.when(F.col("level") == k, F.struct("pos", "title"))).over(w).alias(f"_h{k}") for k in range(1, 7)])
+        def step(acc: Column, u: Column) -> Column:
+            full = (acc["i"] > acc["s"]) & (acc["q"] + u["n"] > max_tokens)
+            moved = F.get(F.transform(F.array(back(acc)), lambda t: F.struct(
+                (acc["i"] + 1).alias("i"), (acc["pos"] + u["len"]).alias("pos"), (acc["i"] - t["k"]).alias("s"), (acc["pos"] - t["len"]).alias("lo"), (t["q"] + u["n"]).alias("q"),
+                F.concat(acc["out"], F.array(F.struct(acc["s"].alias("a"), (acc["i"] - 1).alias("b"), acc["lo"].alias("lo")))).alias("out"),
+            )), F.lit(0))
+            stays = F.struct((acc["i"] + 1).alias("i"), (acc["pos"] + u["len"]).alias("pos"), acc["s"].alias("s"), acc["lo"].alias("lo"), (acc["q"] + u["n"]).alias("q"), acc["out"].alias("out"))
+            return F.when(full, moved).otherwise(stays)
 
-    def kept(k: int) -> Column:
-        above = [F.coalesce(F.col(f"_h{j}.pos"), F.lit(-1)) for j in range(1, k)]
-        return F.when(F.col(f"_h{k}.pos") > F.greatest(F.lit(-1), F.lit(-1), *above), F.col(f"_h{k}.title"))
+        start = F.struct(*[F.lit(0).alias(x) for x in ("i", "pos", "s", "lo", "q")], none.alias("out"))
+        return F.aggregate(sized, start, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["s"].alias("a"), (acc["i"] - 1).alias("b"), acc["lo"].alias("lo")))))
 
-    return last.select(key, "pos", F.array_join(F.array_compact(F.array(*[kept(k) for k in range(1, 7)])), " > ").alias("path"))
+    return F.get(F.transform(F.array(sizes), fold), F.lit(0))  # the one-element array names the sizes, worked out once
 
 
-def chunks(df: DataFrame, key: str = "doc_id", col: str = "norm", max_tokens: int = 768, overlap: float = 0.15, respect_headings: bool = True) -> DataFrame:
-    """key, chunk_index, char_start, char_end, token_count, heading_path, content of greedy chunks.
+def chunks(df: DataFrame, key: str = "doc_id", col: str = "norm", max_tokens: int = 768, overlap: float = 0.15, respect_headings: bool = True, tokens: Callable[[Column], Column] = estimate_tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns of keep, chunk_index, char_start, char_end, token_count, heading_path, content of greedy chunks.
 
     Units are sentences of a section; a sentence over max_tokens is cut at blanks. Sections start at headings. A full
-    chunk hands on its last units of at most max_tokens * overlap tokens. content is cut from the text by its offsets.
+    chunk hands on its last units of at most max_tokens * overlap tokens. tokens counts those of a text column.
+    Everything happens in the row of a document: no text is shuffled or copied for each sentence.
     """
-    texts = df.select(key, F.col(col).alias("_t"))
-    if respect_headings:
-        found = headings(df, key, col).join(heading_paths(headings(df, key, col), key), [key, "pos"])
-        marks = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("_marks"))
-        texts = texts.join(marks, key, "left").withColumn("_marks", F.coalesce("_marks", F.array().cast("array<struct<pos:int,path:string>>")))
-    else:
-        texts = texts.withColumn("_marks", F.array().cast("array<struct<pos:int,path:string>>"))
+    t = F.col(col)
     first = F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("path")))
-    starts = F.when((F.size("_marks") > 0) & (F.get("_marks", F.lit(0))["pos"] == 0), F.col("_marks")).otherwise(F.concat(first, F.col("_marks")))
-    sections = texts.withColumn("_starts", starts).select(key, "_t", "_starts", F.posexplode("_starts").alias("_section", "_s"))
-    end = F.coalesce(F.get("_starts", F.col("_section") + 1)["pos"], F.char_length("_t"))
-    sections = sections.select(key, "_section", F.col("_s.pos").alias("_at"), F.col("_s.path").alias("_path"), F.substring("_t", F.col("_s.pos") + 1, end - F.col("_s.pos")).alias("_body")).filter("_body <> ''")
+    marks = path_array(heading_array(t)) if respect_headings else F.array().cast("array<struct<pos:int,path:string>>")
+    texts = df.select(key, *keep, t.alias("_t"), marks.alias("_marks"))
+    texts = texts.withColumn("_starts", F.when(F.coalesce(F.get("_marks", F.lit(0))["pos"] == 0, F.lit(False)), F.col("_marks")).otherwise(F.concat(first, F.col("_marks"))))
+    end = lambda i: F.coalesce(F.get("_starts", i + 1)["pos"], F.char_length("_t"))
+    section = F.transform("_starts", lambda s, i: F.struct(i.alias("no"), s["pos"].alias("at"), s["path"].alias("path"), F.substring("_t", s["pos"] + 1, end(i) - s["pos"]).alias("body")))
+    sections = texts.select(key, *keep, F.inline(F.filter(section, lambda s: s["body"] != "")))
     limit = max(200, int(max_tokens * 2.8))
-    unit = lambda s: F.when(estimate_tokens(s) <= max_tokens, F.array(s)).otherwise(hard_split(s, limit))
-    units = sections.select(key, "_section", "_at", "_path", "_body", F.posexplode(F.flatten(F.transform(sentence_array(F.col("_body")), unit))).alias("_i", "_u"))
-    w = Window.partitionBy(key, "_section").orderBy("_i")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    units = units.withColumns({"_len": F.char_length("_u"), "_n": estimate_tokens(F.col("_u"))})
-    units = units.withColumns({"_from": F.coalesce(F.sum("_len").over(past), F.lit(0)).cast("int"), "_q": F.coalesce(F.sum("_n").over(past), F.lit(0)).cast("int")})
-    tail = Window.partitionBy(key, "_section").orderBy("_q").rangeBetween(-int(max_tokens * overlap), 0)
-    units = units.withColumns({"_back": F.min("_i").over(tail), "_backq": F.min("_q").over(tail)})
-    packed = units.groupBy(key, "_section").agg(
-        F.array_sort(F.collect_list(F.struct("_i", "_from", "_len", "_n", "_q", "_back", "_backq"))).alias("_units"), F.first("_at").alias("_at"), F.first("_path").alias("_path"), F.first("_body").alias("_body"),
-    )
-    empty = F.struct(F.lit(0).alias("s"), F.lit(0).alias("q"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(acc: Column, u: Column) -> Column:
-        full = (u["_i"] > acc["s"]) & (u["_q"] + u["_n"] - acc["q"] > max_tokens)
-        return F.struct(
-            F.when(full, F.greatest(acc["s"], u["_back"])).otherwise(acc["s"]).alias("s"),
-            F.when(full, F.greatest(acc["q"], u["_backq"])).otherwise(acc["q"]).alias("q"),
-            F.when(full, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("a"), (u["_i"] - 1).alias("b"))))).otherwise(acc["out"]).alias("out"),
-        )
-
-    runs = F.aggregate("_units", empty, step, lambda acc: acc["out"])
-    last = F.aggregate("_units", empty, step, lambda acc: acc["s"])
-    packed = packed.withColumn("_runs", F.concat(runs, F.array(F.struct(last.alias("a"), (F.size("_units") - 1).alias("b")))))
-    cut = packed.select(key, "_section", "_at", "_path", "_body", "_units", F.posexplode("_runs").alias("_k", "_r"))
-    lo, last_unit = F.get("_units", F.col("_r.a")), F.get("_units", F.col("_r.b"))
-    raw = cut.select(key, "_section", "_k", "_at", "_path", "_body", lo["_from"].alias("_lo"), (last_unit["_from"] + last_unit["_len"]).alias("_hi"))
-    raw = raw.withColumn("_raw", F.substring("_body", F.col("_lo") + 1, F.col("_hi") - F.col("_lo")))
-    blank = F.lit(" \t\n  ")
-    raw = raw.withColumns({"_left": F.char_length("_raw") - F.char_length(F.ltrim("_raw", blank)), "content": F.btrim("_raw", blank)}).filter("content <> ''")
-    start = (F.col("_at") + F.col("_lo") + F.col("_left")).cast("int")
-    index = F.row_number().over(Window.partitionBy(key).orderBy("_section", "_k")) - 1
-    return raw.select(key, index.alias("chunk_index"), start.alias("char_start"), (start + F.char_length("content")).alias("char_end"), estimate_tokens(F.col("content")).alias("token_count"), F.col("_path").alias("heading_path"), "content")
+    unit = lambda s: F.when(tokens(s) <= max_tokens, F.array(s)).otherwise(hard_split(s, limit))
+    units = sections.select(key, *keep, "no", "at", "path", F.flatten(F.transform(sentence_array(F.col("body")), unit)).alias("_u"))
+    runs = units.withColumn("_runs", pack(F.col("_u"), tokens, max_tokens, int(max_tokens * overlap)))
+    blank = F.lit(SPACE.replace("\\t", "\t").replace("\\n", "\n"))
+    body = lambda r: F.array_join(F.slice("_u", r["a"] + 1, r["b"] - r["a"] + 1), "")
+    cut = F.transform("_runs", lambda r: F.struct(r["a"].alias("_k"), r["lo"].alias("_lo"), body(r).alias("_raw")))
+    raw = runs.select(key, *keep, "no", "at", "path", F.inline(cut))
+    raw = raw.withColumn("content", F.btrim("_raw", blank)).filter("content <> ''")
+    start = (F.col("at") + F.col("_lo") + F.char_length("_raw") - F.char_length(F.ltrim("_raw", blank))).cast("int")
+    raw = raw.select(key, *keep, "no", "_k", start.alias("char_start"), (start + F.char_length("content")).alias("char_end"), tokens(F.col("content")).alias("token_count"), F.col("path").alias("heading_path"), "content")
+    index = F.row_number().over(Window.partitionBy(key).orderBy("no", "_k")) - 1
+    return raw.withColumn("chunk_index", index).select(key, *keep, "chunk_index", "char_start", "char_end", "token_count", "heading_path", "content")
 
 
 def hard_split(text: Column, limit: int) -> Column:

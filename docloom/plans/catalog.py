@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import estimate_tokens, lexemes, normalized, query_parts, sql_bare, sql_norm, sql_tokens, strip_accents
 from docloom.operators import quality, retrieval, segments, service
-from docloom.sources.tables import load
+from docloom.sources.tables import load, spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def norm_docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return normalized(load(spark, sf, "documents").select("doc_id", "text", *columns)).drop("text")
+    return normalized(spread(load(spark, sf, "documents").select("doc_id", "text", *columns))).drop("text")
 
 
 DOCS = f"d AS (SELECT doc_id, source, lang, {sql_norm()} AS t FROM documents)"
@@ -67,25 +67,24 @@ _ROUND = ("letter_ratio", "diacritic_ratio", "mojibake_ratio", "replacement_rati
 
 @query(f"SELECT doc_id, char_count, looks_vietnamese, legacy_encoding, html_entity_count, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUND)} FROM ({quality.SQL_SIGNALS})")
 def quality_signals(spark, sf):
-    s = quality.signals(load(spark, sf, "documents"))
+    s = quality.signals(spread(load(spark, sf, "documents").select("doc_id", "text")))
     return s.select("doc_id", "char_count", "looks_vietnamese", "legacy_encoding", "html_entity_count", *[F.round(c, 6).alias(c) for c in _ROUND])
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score, usable, route FROM ({quality.SQL_ASSESS})")
 def quality_score(spark, sf):
-    return quality.assess(load(spark, sf, "documents")).select("doc_id", F.round("score", 6).alias("score"), "usable", "route")
+    return quality.assess(spread(load(spark, sf, "documents").select("doc_id", "text"))).select("doc_id", F.round("score", 6).alias("score"), "usable", "route")
 
 
 @query(f"SELECT source, route, count(*) AS n, round(avg(score), 6) AS mean_score FROM (SELECT q.*, d.source FROM ({quality.SQL_ASSESS}) q JOIN documents d USING (doc_id)) GROUP BY ALL")
 def quality_route(spark, sf):
-    graded = quality.assess(load(spark, sf, "documents").select("doc_id", "text"))
-    sources = load(spark, sf, "documents").select("doc_id", "source")
-    return graded.join(sources, "doc_id").groupBy("source", "route").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    graded = quality.assess(spread(load(spark, sf, "documents").select("doc_id", "text", "source")), keep=("source",))
+    return graded.groupBy("source", "route").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 @query(f"SELECT coalesce(legacy_encoding, 'none') AS encoding, count(*) AS n, min(doc_id) AS first_doc FROM ({quality.SQL_SIGNALS}) GROUP BY ALL")
 def legacy_encoding_flags(spark, sf):
-    return quality.signals(load(spark, sf, "documents")).groupBy(F.coalesce("legacy_encoding", F.lit("none")).alias("encoding")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return quality.signals(spread(load(spark, sf, "documents").select("doc_id", "text"))).groupBy(F.coalesce("legacy_encoding", F.lit("none")).alias("encoding")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 # --- segments -----------------------------------------------------------------------------------------------------
@@ -145,7 +144,7 @@ def headings(spark, sf):
     SELECT a.doc_id, a.pos, concat_ws(' > ', h1.title, CASE WHEN p2 > coalesce(p1, -1) THEN h2.title END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN h3.title END) AS path
     FROM a LEFT JOIN h h1 ON a.doc_id = h1.doc_id AND a.p1 = h1.pos LEFT JOIN h h2 ON a.doc_id = h2.doc_id AND a.p2 = h2.pos LEFT JOIN h h3 ON a.doc_id = h3.doc_id AND a.p3 = h3.pos""")
 def heading_path(spark, sf):
-    return segments.heading_paths(segments.headings(_marked_up(spark, sf)))
+    return segments.heading_paths(_marked_up(spark, sf))
 
 
 # sentences over the limit are cut piece by piece; the fold over units is a walk from one to the next
@@ -209,7 +208,7 @@ def chunk_page_lookup(spark, sf):
     SELECT c.doc_id, CAST(c.a AS INTEGER) AS char_start, count(*) AS blocks, CAST(min(b.i) AS INTEGER) AS first_block FROM c JOIN b ON c.doc_id = b.doc_id AND b.s < c.e AND b.s + b.n > c.a GROUP BY ALL""")
 def chunk_bbox_overlap(spark, sf):
     df = norm_docs(spark, sf).filter("norm <> ''")
-    blocks = segments.spans(df, F.transform(F.split("norm", "\n"), lambda x: F.concat(x, F.lit("\n"))), name="i").select("doc_id", "i", F.col("char_start").alias("s"), (F.col("char_end") - 1).alias("e"))
+    blocks = segments.spans(df, F.transform(F.split("norm", "\n"), lambda x: F.concat(x, F.lit("\n"))), "doc_id", "i").select("doc_id", "i", F.col("char_start").alias("s"), (F.col("char_end") - 1).alias("e"))
     c = segments.fixed_chunks(df).select("doc_id", "char_start", "char_end")
     hit = c.join(blocks, "doc_id").filter((F.col("s") < F.col("char_end")) & (F.col("e") > F.col("char_start")))
     return hit.groupBy("doc_id", "char_start").agg(F.count("*").alias("blocks"), (F.min("i") + 1).alias("first_block"))

@@ -7,3 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df dealt by key to all cores if its files make fewer partitions than there are; large tables stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
