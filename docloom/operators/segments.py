@@ -101,9 +101,10 @@ def headings(df: DataFrame, key: str = "doc_id", col: str = "norm") -> DataFrame
     return df.select(key, F.inline(heading_array(F.col(col))))
 
 
-def heading_paths(df: DataFrame, key: str = "doc_id", col: str = "norm") -> DataFrame:
-    """key, pos, path: the titles of each heading and its ancestors."""
-    return df.select(key, F.inline(path_array(heading_array(F.col(col)))))
+def heading_paths(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, pos, path of headings (key, pos, level, title): the titles of each and its ancestors."""
+    own = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("_h"))
+    return own.select(key, F.inline(path_array(F.col("_h"))))
 
 
 def pack(units: Column, tokens: Callable[[Column], Column], max_tokens: int, tail: int) -> Column:
@@ -182,3 +183,14 @@ def fixed_chunks(df: DataFrame, key: str = "doc_id", col: str = "norm", size: in
     each = df.select(key, col, at.alias("char_start"))
     content = F.substring(col, F.col("char_start") + 1, F.lit(size))
     return each.select(key, "char_start", (F.col("char_start") + F.char_length(content)).alias("char_end"), content.alias("content")).filter("content <> ''")
+
+
+def chunk_document(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """Chunks of assembled documents (key, full_text, pages, blocks), with page_no and bbox.
+
+    A chunk belongs to the page on which it begins; its boxes are those of the blocks that it overlaps.
+    """
+    from docloom.sources.extract import bboxes_for, page_of
+
+    made = chunks(docs, key, "full_text", keep=("pages", "blocks"), **options)
+    return made.withColumns({"page_no": page_of(F.col("pages"), F.col("char_start")), "bbox": bboxes_for(F.col("blocks"), F.col("char_start"), F.col("char_end"))}).drop("pages", "blocks")

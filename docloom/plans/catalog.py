@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import estimate_tokens, lexemes, normalized, query_parts, sql_bare, sql_norm, sql_tokens, strip_accents
-from docloom.operators import quality, retrieval, segments, service
+from docloom.operators import evaluation, quality, retrieval, segments, service
 from docloom.sources.tables import load, spread
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -144,7 +144,7 @@ def headings(spark, sf):
     SELECT a.doc_id, a.pos, concat_ws(' > ', h1.title, CASE WHEN p2 > coalesce(p1, -1) THEN h2.title END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN h3.title END) AS path
     FROM a LEFT JOIN h h1 ON a.doc_id = h1.doc_id AND a.p1 = h1.pos LEFT JOIN h h2 ON a.doc_id = h2.doc_id AND a.p2 = h2.pos LEFT JOIN h h3 ON a.doc_id = h3.doc_id AND a.p3 = h3.pos""")
 def heading_path(spark, sf):
-    return segments.heading_paths(_marked_up(spark, sf))
+    return _marked_up(spark, sf).select("doc_id", F.inline(segments.path_array(segments.heading_array(F.col("norm")))))
 
 
 # sentences over the limit are cut piece by piece; the fold over units is a walk from one to the next
@@ -399,7 +399,8 @@ def login_lockout(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_p95(spark, sf):
-    return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.expr("percentile(value, 0.95)"), 6).alias("p95"))
+    found = evaluation.exact_percentile(load(spark, sf, "events"), "event_type", "value", 0.95)
+    return found.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("percentile", 6).alias("p95"))
 
 
 @query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM events GROUP BY event_type")

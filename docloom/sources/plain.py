@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import normalized
 from docloom.operators import quality, segments
@@ -14,18 +15,17 @@ TEXT_KINDS = ("txt", "md", "paste")
 LEGACY = ("cp1258", "cp1252", "latin-1")
 
 
-def _decoder(codec: str):
-    @F.pandas_udf("string")
-    def decode(content: pd.Series) -> pd.Series:
-        def one(b):
-            try:
-                return b.decode(codec)
-            except UnicodeDecodeError:
-                return None
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decoded(content: pd.Series) -> pd.Series:
+    """The text under each of LEGACY, null where the bytes aren't of that encoding."""
 
-        return content.map(one, na_action="ignore")
+    def one(b: bytes, codec: str) -> str | None:
+        try:
+            return b.decode(codec)
+        except UnicodeDecodeError:
+            return None
 
-    return decode
+    return content.map(lambda b: [one(b, codec) for codec in LEGACY], na_action="ignore")
 
 
 def decode_bytes(files: DataFrame, key: str = "path", col: str = "content") -> DataFrame:
@@ -33,14 +33,10 @@ def decode_bytes(files: DataFrame, key: str = "path", col: str = "content") -> D
     text the quality gate scores best, the first of equals."""
     utf8 = F.expr(f"is_valid_utf8({col})")
     plain = files.filter(utf8).withColumns({"text": F.regexp_replace(F.decode(col, "UTF-8"), "^﻿", ""), "encoding": F.lit("utf-8-sig")})
-    others = files.filter(~utf8)
-    tries = None
-    for rank, codec in enumerate(LEGACY):
-        t = others.select("*", _decoder(codec)(F.col(col)).alias("text"), F.lit(codec).alias("encoding"), F.lit(rank).alias("_rank"))
-        tries = t if tries is None else tries.unionByName(t)
-    tries = tries.filter("text is not null").withColumn("_try", F.concat_ws("|", key, "encoding"))
-    graded = tries.join(quality.assess(tries, "_try").select("_try", "score"), "_try")
+    tries = files.filter(~utf8).select("*", F.posexplode(_decoded(F.col(col))).alias("_rank", "text")).filter("text is not null")
+    graded = quality.assess(tries.withColumn("_text", F.col("text")), key, "text", keep=("_rank", "_text", *[c for c in files.columns if c != key]))
     best = graded.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "_rank"))).filter("_n = 1")
+    best = best.withColumns({"text": F.col("_text"), "encoding": F.get(F.array(*map(F.lit, LEGACY)), F.col("_rank"))})
     both = plain.unionByName(best.select(*plain.columns))
     return both.withColumn("error_code", F.when(F.trim(F.regexp_replace("text", "\\s+", " ")) == "", "TEXT_EMPTY"))
 

@@ -39,7 +39,7 @@ def failure_stream(failures: DataFrame, watermark: str = "10 minutes") -> DataFr
 def to_end(counts: DataFrame) -> DataFrame:
     """The result of an aggregated stream read to its end, from Parquet files: no row passes through the driver."""
     spark = counts.sparkSession
-    folder = f"{_shared_dir(spark)}/stream-{uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     done = []
 
     def each(batch: DataFrame, epoch: int) -> None:  # complete mode: the last epoch has the whole result
@@ -53,7 +53,7 @@ def to_end(counts: DataFrame) -> DataFrame:
     return spark.read.schema(counts.schema).parquet(f"{folder}/epoch-{max(done)}")
 
 
-def _shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
     return base.rstrip("/")
 
