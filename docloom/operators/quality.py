@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SPACE, VIETNAMESE, WORD, normalized, sql_bare, sql_norm, strip_accents
+from docloom.functions.text import BLANKS, SPACE, VIETNAMESE, WORD, normalized, sql_bare, sql_norm, strip_accents
 
 # Function words without accents; thresholds of the gate.
 FUNCTION_WORDS = (
@@ -28,13 +28,14 @@ def _count(text: Column, pattern: str) -> Column:
 
 def _tokens_with(text: Column, chars: str) -> Column:
     """How many tokens between white space hold one of chars; texts without any aren't gone through by token."""
-    one = f"(?<![^{SPACE}])[^{SPACE}{chars}]*+[{chars}][^{SPACE}]*+"
-    return F.when(text.rlike(f"[{chars}]"), _count(text, one)).otherwise(F.lit(0).cast("long"))
+    tokens = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w.rlike(f"[{chars}]"))
+    return F.when(text.rlike(f"[{chars}]"), F.size(tokens).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def signals(df: DataFrame, key: str = "doc_id", col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts and ratios of each text, with the columns of keep; empty texts get zeros."""
     t = F.col("norm")
+    trimmed = F.btrim(t, F.lit(BLANKS))
     digit_runs = F.regexp_extract_all(t, F.lit(f"(?<![{WORD}])[{WORD}&&[^\\p{{Nd}}]]*+\\p{{Nd}}[{WORD}]*+"), F.lit(0))
     out = normalized(df.select(key, col, *keep), col).withColumns({
         "char_count": F.char_length(t).cast("long"),
@@ -42,7 +43,7 @@ def signals(df: DataFrame, key: str = "doc_id", col: str = "text", keep: tuple[s
         "marked": (F.char_length(t) - F.char_length(F.translate(t, VIETNAMESE, ""))).cast("long"),
         "words": _count(t, LETTER_WORD),
         "bare_words": F.regexp_extract_all(F.lower(strip_accents(t)), F.lit(LETTER_WORD), F.lit(0)),
-        "loose": _count(t, f"[^{SPACE}]++"),
+        "loose": F.when(trimmed == "", 0).otherwise(F.regexp_count(trimmed, F.lit(f"[{SPACE}]+")) + 1).cast("long"),
         "tcvn3": _tokens_with(t, "¡-¿"),
         "vni": _tokens_with(t, "ñöøÑÖØ"),
         "mojibake": F.when(t.rlike("[ÃÂáÆ]"), _count(t, MOJIBAKE)).otherwise(F.lit(0).cast("long")),

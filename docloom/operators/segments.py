@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SPACE, estimate_tokens
+from docloom.functions.text import BLANKS, SPACE, estimate_tokens
 
 # Abbreviations whose full stop ends no sentence; ranks of legal headings.
 ABBREVIATIONS = (
@@ -68,7 +68,7 @@ def heading_array(text: Column) -> Column:
     none = F.array().cast(kind)
 
     def heading(pos: Column, line: Column) -> Column:
-        s = F.btrim(line, F.lit(SPACE.replace("\\t", "\t").replace("\\n", "\n")))
+        s = F.btrim(line, F.lit(BLANKS))
         rest = F.btrim(F.regexp_extract(s, _LEGAL, 3))
         legal = F.concat(F.regexp_extract(s, _LEGAL, 1), F.lit(" "), F.regexp_extract(s, _LEGAL, 2), F.when(rest != "", F.concat(F.lit(". "), rest)).otherwise(""))
         md = F.struct(pos.alias("pos"), F.char_length(F.regexp_extract(s, _MARKDOWN, 1)).alias("level"), F.btrim(F.regexp_extract(s, _MARKDOWN, 2)).alias("title"))
@@ -158,7 +158,7 @@ def chunks(df: DataFrame, key: str = "doc_id", col: str = "norm", max_tokens: in
     unit = lambda s: F.when(tokens(s) <= max_tokens, F.array(s)).otherwise(hard_split(s, limit))
     units = sections.select(key, *keep, "no", "at", "path", F.flatten(F.transform(sentence_array(F.col("body")), unit)).alias("_u"))
     runs = units.withColumn("_runs", pack(F.col("_u"), tokens, max_tokens, int(max_tokens * overlap)))
-    blank = F.lit(SPACE.replace("\\t", "\t").replace("\\n", "\n"))
+    blank = F.lit(BLANKS)
     body = lambda r: F.array_join(F.slice("_u", r["a"] + 1, r["b"] - r["a"] + 1), "")
     cut = F.transform("_runs", lambda r: F.struct(r["a"].alias("_k"), r["lo"].alias("_lo"), body(r).alias("_raw")))
     raw = runs.select(key, *keep, "no", "at", "path", F.inline(cut))

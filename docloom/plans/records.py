@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import STABLE, is_normalized, nfc, normalized, sql_bare, sql_norm, sql_tokens
+from docloom.functions.text import UNSTABLE, is_normalized, nfc, normalized, sql_bare, sql_norm, sql_tokens
 from docloom.operators import answers, evaluation, quality, segments, service, tenancy
 from docloom.operators.quality import FUNCTION_WORDS, LETTER_WORD
 from docloom.plans.catalog import CHUNKS, DOCS, HEADINGS, _marked_up, norm_docs, query
@@ -43,7 +43,7 @@ def raw_signals(spark, sf):
     t = F.coalesce("text", F.lit(""))
     share = lambda n: F.round(F.coalesce(F.try_divide(n.cast("double"), F.char_length(t)), F.lit(0.0)), 6)
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    same = F.when(F.coalesce(F.col("text").rlike(STABLE), F.lit(False)), nfc(F.when(F.col("text").rlike(STABLE), F.col("text"))) == F.col("text")).otherwise(F.lit(True))
+    same = F.when(F.coalesce(F.col("text").rlike(UNSTABLE), F.lit(False)), nfc(F.when(F.col("text").rlike(UNSTABLE), F.col("text"))) == F.col("text")).otherwise(F.lit(True))
     return docs.select("doc_id", share(F.char_length(F.regexp_replace(t, "[^À-ỹ]+", ""))).alias("marked_ratio"), share(F.char_length(t) - F.char_length(F.translate(t, "�", ""))).alias("replaced_ratio"), same.alias("is_nfc"))
 
 
