@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.shared import appended, is_held_out, labelled_sample, read, spare_name
+from docloom.llm.shared import appended, free_name, is_held_out, labelled_sample, read, spare_name
 
-#: Bounds of the training sample: labelled documents of each class, and lines of one of them (evenly spaced windows).
-PER_CLASS, TRAIN_LINES = 1200, 48
+#: Bound of the training sample: labelled documents of each class. All their lines count.
+PER_CLASS = 1200
 SYMBOLS, UPPER, DIGITS, MARKS, STOPS = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b".,;:"
 N_OWN = 12
 #: Own features of a line, the same of the lines before and after it, and a constant.
@@ -92,9 +92,19 @@ class LineModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _grouped(lengths: list[int]) -> list[np.ndarray]:
+    """Numbers of texts, in groups whose longest has at most twice the lines of the shortest (or 16)."""
+    order, out = np.argsort(lengths, kind="stable"), []
+    while len(order):
+        n = int(np.searchsorted(np.array(lengths)[order], max(16, 2 * lengths[order[0]]), "right"))
+        out.append(order[:n])
+        order = order[n:]
+    return out
+
+
 def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     longest = max(map(len, xs))
-    x, on = np.zeros((len(xs), longest, N_FEATURES), np.float32), np.zeros((len(xs), longest), bool)
+    x, on = np.zeros((len(xs), longest, *xs[0].shape[1:]), xs[0].dtype), np.zeros((len(xs), longest), bool)
     for i, a in enumerate(xs):
         x[i, : len(a)], on[i, : len(a)] = a, True
     return x, on
@@ -123,42 +133,45 @@ def _expect(s: np.ndarray, on: np.ndarray, moves: np.ndarray) -> tuple[np.ndarra
 
 
 def train(xs: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, prior: float, rounds: int = 2, steps: int = 60, decay: float = 1e-3) -> LineModel:
-    """Fit the field to texts whose lines all start with the text's label.
+    """Fit the field to whole texts whose lines all start with the text's label.
 
     After each round, lines of bad texts that look good are taken for good (the heaviest suspect stays bad), since
-    bad texts also hold ordinary lines. prior: the share of label 1 among all labelled rows.
+    bad texts also hold ordinary lines. prior: the share of label 1 among all labelled rows. Texts go in groups of
+    like lengths, so that long ones pad no short ones.
     """
-    x, on = _padded(xs)
-    flat = x[on]
+    flat = np.concatenate(xs)
     mean, scale = flat.mean(axis=0), flat.std(axis=0) + 1e-3
     mean[-1], scale[-1] = 0, 1
-    x -= mean
-    x /= scale
     del flat
-    y = np.where(on, labels[:, None] == 1, False)
+    groups = []
+    for idx in _grouped([len(x) for x in xs]):
+        x, on = _padded([((xs[i] - mean) / scale).astype(np.float32) for i in idx])
+        weight, _ = _padded([lengths[i] for i in idx])
+        groups.append((idx, x, on, weight, on & (labels[idx, None] == 1)))
+    total = sum(int(on.sum()) for _, _, on, _, _ in groups)
     w, moves = np.zeros(N_FEATURES), np.zeros((2, 2))
-    weight = np.zeros(on.shape)
-    for i, a in enumerate(lengths):
-        weight[i, : len(a)] = a
     for r in range(rounds):
         mw, vw, mm, vm = np.zeros_like(w), np.zeros_like(w), np.zeros_like(moves), np.zeros_like(moves)
-        inner = on[:, 1:]
-        seen = np.array([[(inner & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
+        seen = sum(np.array([[(on[:, 1:] & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float) for _, _, on, _, y in groups)
         for k in range(1, steps + 1):
-            p, pairs = _expect(x @ w.astype(np.float32), on, moves)
-            gw = np.tensordot(np.where(on, y - p, 0).astype(np.float32), x, 2) / on.sum() - decay * w
-            gm = (seen - pairs) / on.sum() - decay * moves
+            gw, gm = -decay * w, seen / total - decay * moves
+            for _, x, on, _, y in groups:
+                p, pairs = _expect(x @ w.astype(np.float32), on, moves)
+                gw = gw + np.tensordot(np.where(on, y - p, 0).astype(np.float32), x, 2) / total
+                gm = gm - pairs / total
             mw, vw, mm, vm = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2, 0.9 * mm + 0.1 * gm, 0.99 * vm + 0.01 * gm**2
             rate = 0.15 / (1 - 0.9**k)
             w = w + rate * mw / (np.sqrt(vw / (1 - 0.99**k)) + 1e-6)
             moves = moves + rate * mm / (np.sqrt(vm / (1 - 0.99**k)) + 1e-6)
-        p, _ = _expect(x @ w.astype(np.float32), on, moves)
-        if r < rounds - 1:
-            bad = labels == 0
-            worst = np.argmax(np.where(on, (1 - p) * weight, -1), axis=1)
-            y[bad] = (p[bad] > 0.5) & on[bad]
-            y[np.flatnonzero(bad), worst[bad]] = False
-    share = (p * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
+        share = np.zeros(len(xs))
+        for idx, x, on, weight, y in groups:
+            p, _ = _expect(x @ w.astype(np.float32), on, moves)
+            share[idx] = (p * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
+            if r < rounds - 1:
+                bad = labels[idx] == 0
+                worst = np.argmax(np.where(on, (1 - p) * weight, -1), axis=1)
+                y[bad] = (p[bad] > 0.5) & on[bad]
+                y[np.flatnonzero(bad), worst[bad]] = False
     z, c = np.stack([np.ones(len(share)), share - 0.5], axis=1), np.zeros(2)
     each = np.where(labels == 1, prior / max(1, (labels == 1).sum()), (1 - prior) / max(1, (labels == 0).sum())) * len(labels)
     for _ in range(50):  # logistic curve, by damped Newton steps
@@ -168,11 +181,11 @@ def train(xs: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, p
     return LineModel(mean.astype(np.float64), scale.astype(np.float64), w, moves, (float(c[0]), float(c[1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, train_lines: int = TRAIN_LINES) -> LineModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> LineModel:
     """Learn from at most per_class labelled documents of each class that aren't held out.
 
-    Only their line features reach the driver, at most train_lines lines of a document. With no labelled rows of
-    one class, the model is neutral: every document scores the prior (one half without any label).
+    Only their line features reach the driver. With no labelled rows of one class, the model is neutral: every
+    document scores the prior (one half without any label).
     """
     sample = labelled_sample(labels, "quality", per_class)
     picked = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
@@ -180,10 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, train_li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [line_features(t.as_py()) for t in b.column("text")]
-            cut = [slice(0, None) if len(a) <= train_lines else slice((len(a) - train_lines) // 2, (len(a) + train_lines) // 2) for a, _ in rows]
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("label"), pa.array([a[c].tobytes() for (a, _), c in zip(rows, cut, strict=True)], pa.binary()),
-                pa.array([n[c].tobytes() for (_, n), c in zip(rows, cut, strict=True)], pa.binary()),
+                b.column("doc_id"), b.column("label"), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([n.tobytes() for _, n in rows], pa.binary()),
             ], ["doc_id", "label", "x", "n"])
 
     rows = [r for r in picked.select("doc_id", "label", "text").mapInArrow(run, T.StructType([picked.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType()), T.StructField("n", T.BinaryType())])).collect() if r.n]
@@ -200,10 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, train_li
 def with_quality(docs: DataFrame, model: LineModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the double column `out`; every whole text is scored where it lies, however long.
 
-    Null and empty texts get the curve's middle. Rows, their order and all other columns stay as they are; `out`
-    must be a name that docs doesn't have.
+    Null and empty texts get the curve's middle. Rows, their order and all other columns stay as they are; where docs
+    has a column `out`, the score takes a spare name (an underscore before it).
     """
-    at = docs.columns.index(text_col)
+    at, out = docs.columns.index(text_col), free_name(docs, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,8 +8,6 @@ documents are then taken in a seeded order, whole, up to that number, and one mo
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from docloom.llm.shared import BUCKET_BITS, WORD, as_text, discard, read, with_p
 #: Weights of the sources by rank, repeated; the mix's size over the corpus's; uses of a document at most.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Most membership patterns: their table is collected and broadcast, and a larger one is refused.
-MOST_PATTERNS = 1000
+MOST_PATTERNS = 20_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = REPEATS) -> list[float]:
@@ -37,47 +35,74 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
 def min_cost_flow(supplies: list[int], members: list[list[int]], quotas: list[int], repeats: int = REPEATS) -> list[dict[int, int]]:
     """Words that each pattern gives to each of its sources.
 
-    A pattern's k-th use of its words costs 2k - 1 a word, up to `repeats` uses. Shortest augmenting paths by cost
-    fill the quotas as far as memberships allow, at the least cost of all flows that do.
+    A pattern's k-th use of its words costs 2k - 1 a word, up to `repeats` uses. Only first steps cost anything, so
+    paths of the least cost are those of the fewest uses: for k = 1, 2, .. the k-th use of all patterns is opened and
+    the flow raised as far as it goes, by blocking flows along shortest paths (with detours over other patterns).
+    That fills the quotas as far as memberships allow, at the least cost of all flows that do.
     """
-    n = len(supplies)
-    start, end = n + len(quotas), n + len(quotas) + 1
-    graph: list[list[list[int]]] = [[] for _ in range(end + 1)]
-
-    def edge(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    for p, size in enumerate(supplies):
-        for k in range(repeats):
-            edge(start, p, size, 2 * k + 1)
-        for s in members[p]:
-            edge(p, n + s, repeats * size, 0)
-    for s, q in enumerate(quotas):
-        edge(n + s, end, q, 0)
-    while True:
-        cost, via, queue, waiting = {start: 0}, {}, deque([start]), {start}
-        while queue:
-            a = queue.popleft()
-            waiting.discard(a)
-            for k, (b, room, c, _) in enumerate(graph[a]):
-                if room > 0 and cost[a] + c < cost.get(b, 1 << 60):
-                    cost[b], via[b] = cost[a] + c, (a, k)
-                    if b not in waiting:
-                        waiting.add(b)
-                        queue.append(b)
-        if end not in cost:
-            break
-        path, at = [], end
-        while at != start:
-            path.append(via[at])
-            at = via[at][0]
-        amount = min(graph[a][k][1] for a, k in path)
-        for a, k in path:
-            graph[a][k][1] -= amount
-            b = graph[a][k][0]
-            graph[b][graph[a][k][3]][1] += amount
-    return [{e[0] - n: repeats * supplies[p] - e[1] for e in graph[p] if n <= e[0] < start and repeats * supplies[p] > e[1]} for p in range(n)]
+    n, m = len(supplies), len(quotas)
+    give: list[dict[int, int]] = [dict.fromkeys(s, 0) for s in members]
+    takers: list[set[int]] = [set() for _ in range(m)]  # patterns that give a source something
+    need, have = list(quotas), [0] * n
+    for _ in range(repeats):
+        have = [h + s for h, s in zip(have, supplies, strict=True)]
+        while True:
+            near, layer, at = [-1] * m, [s for s in range(m) if need[s] > 0], 0  # steps from a source to one in need
+            far = [-1] * n
+            for s in layer:
+                near[s] = 0
+            by_source: list[list[int]] = [[] for _ in range(m)]
+            for p in range(n):
+                for s in members[p]:
+                    by_source[s].append(p)
+            while layer:
+                at += 1
+                found = []
+                for s in layer:
+                    for p in by_source[s]:
+                        if far[p] < 0:
+                            far[p] = at
+                            found += [r for r, x in give[p].items() if x and near[r] < 0]
+                layer = []
+                for r in found:
+                    if near[r] < 0:
+                        near[r] = at
+                        layer.append(r)
+            moved = 0
+            for p in range(n):
+                while have[p] and far[p] > 0:
+                    amount = _push(p, have[p], far, near, members, give, takers, need)
+                    if not amount:
+                        break
+                    have[p] -= amount
+                    moved += amount
+            if not moved:
+                break
+    return [{s: x for s, x in g.items() if x} for g in give]
+
+
+def _push(p: int, most: int, far: list[int], near: list[int], members: list[list[int]], give: list[dict[int, int]], takers: list[set[int]], need: list[int]) -> int:
+    """Send up to `most` words of a pattern one step nearer to a source in need; a pattern that can't leaves the race."""
+    for s in members[p]:
+        if near[s] != far[p] - 1:
+            continue
+        if not near[s]:
+            amount = min(most, need[s])
+            need[s] -= amount
+        else:  # another pattern that gives this source something gives it elsewhere instead
+            amount = 0
+            for q in sorted(takers[s]):
+                if far[q] == near[s] and q != p and (amount := _push(q, min(most, give[q][s]), far, near, members, give, takers, need)):
+                    give[q][s] -= amount
+                    if not give[q][s]:
+                        takers[s].discard(q)
+                    break
+        if amount:
+            give[p][s] += amount
+            takers[s].add(p)
+            return amount
+    far[p] = -1
+    return 0
 
 
 def _membership(members: Column) -> Column:

@@ -110,6 +110,11 @@ def spare_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name itself where df has no such column, else a spare one."""
+    return name if name.lower() not in {c.lower() for c in df.columns} else spare_name(df, name)
+
+
 def bucket_of(h: Column) -> Column:
     """The leading bits of a 64-bit hash, in unsigned order."""
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")

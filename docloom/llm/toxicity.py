@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.shared import appended, is_held_out, labelled_sample, read
+from docloom.llm.shared import appended, discard, free_name, is_held_out, labelled_sample, read, written
 
 #: Bounds: labelled documents of each class, learnt features, tokens that a worker remembers (no result depends on it).
 PER_CLASS, MOST_FEATURES, REMEMBER = 4000, 4000, 500_000
@@ -225,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     prior = min(0.999, max(0.001, float(0.5 if known.m is None else known.m)))
     ids = labelled_sample(labels, "toxic", per_class)
     sample = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))
+    sample = written(sample, "toxic-sample")  # at most 2 * per_class texts, read four times
     counts = _feature_counts(sample, restorer)
     n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     rate = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (n.get(0, 0) + 1) / (n.get(1, 0) + 1)
@@ -243,16 +244,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
         w, model.bias = train([(r.hits, r.label) for r in sorted(rows, key=lambda r: (r.h, r.label))], len(names), prior)
         model.weights = {f: float(x) for f, x in zip(names, w.tolist(), strict=True) if x > 0.01}
         model.known.clear()
+    discard(sample)
     return model
 
 
 def with_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the double column `out` (0 to 1); every whole text is read where it lies, however long.
 
-    Null and empty texts have no feature and score the bias. Rows and all other columns stay as they are; `out` must
-    be a name that docs doesn't have.
+    Null and empty texts have no feature and score the bias. Rows and all other columns stay as they are; where docs
+    has a column `out`, the score takes a spare name (an underscore before it).
     """
-    at = docs.columns.index(text_col)
+    at, out = docs.columns.index(text_col), free_name(docs, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -68,3 +68,29 @@ def test_overlapping_members(spark):
     got = mixing.mix(docs, members=both).collect()
     total = sum(r.size for r in got)
     assert abs(sum(r.taken for r in got) - sum(mixing.targets([sum(r.size for r in got if r.doc_id % 2 or r.doc_id % 4 == 0), sum(r.size for r in got if r.doc_id % 2 == 0)]))) < 0.02 * total
+
+
+def test_flow_ends_at_its_bound():
+    """As many patterns as are allowed, over thirty sources."""
+    import time
+
+    rnd = random.Random(9)
+    n = mixing.MOST_PATTERNS
+    members = [sorted(rnd.sample(range(30), rnd.randint(1, 6))) for _ in range(n)]
+    supplies = [rnd.randint(0, 10_000) for _ in range(n)]
+    began = time.time()
+    flow = mixing.min_cost_flow(supplies, members, [round(1.2 * sum(supplies) / 30 * (1 + s % 3)) for s in range(30)])
+    assert time.time() - began < 60
+    assert all(sum(f.values()) <= 2 * s and set(f) <= set(m) for f, s, m in zip(flow, supplies, members, strict=True))
+
+
+def test_null_and_empty_members(spark):
+    """No members, or null ones, are the source null; order and repeats within an array make no new pattern."""
+    rows = [(1, "a b c", ["x", "y"]), (2, "a b c", ["y", "x", "y"]), (3, "d e", []), (4, "f", None), (5, None, ["x"]), (6, "g h", [None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m array<string>")
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r for r in mixing.mix(docs, members=F.col("m")).collect()}
+    assert len(got) == 6 and got[3].source_size == got[4].source_size == got[6].source_size == 5 and got[5].taken == 0
+    assert got[1].source_size == got[2].source_size == 6
+    assert mixing.mixed(docs, members=F.col("m")).columns == docs.columns
