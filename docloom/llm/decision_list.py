@@ -88,7 +88,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def learn_rules(rows: list[dict], features: list[str] = FEATURES, cuts: int = 24, most_rules: int = 16, most_tests: int = 4, precision: float = 0.9) -> list[Rule]:
     """A decision list that rejects label 0, from bounded rows with the features and label; every third row prunes.
 
-    Sets of rows are bit sets. A rule is kept while at least `precision` of what it covers has label 0, on the rows
+    Thresholds lie halfway between neighbouring values, at quantiles of all rows and of those of label 0, which are
+    few. Sets of rows are bit sets. A rule is kept while at least `precision` of what it covers has label 0, on the rows
     set aside too where it covers any. No rows of label 0 give an empty list.
     """
     full = (1 << len(rows)) - 1
@@ -96,8 +97,10 @@ def learn_rules(rows: list[dict], features: list[str] = FEATURES, cuts: int = 24
     bad, prune = bits(lambda i, r: r["label"] == 0), bits(lambda i, r: i % 3 == 2)
     tests: dict[tuple[str, bool, float], int] = {}
     for name in features:
-        values = sorted(r[name] for r in rows)
-        for x in sorted({values[len(values) * k // cuts] for k in range(cuts)} | {values[-1]}) if values else []:
+        values = sorted({r[name] for r in rows})
+        below = dict(zip(values[1:], values, strict=False))
+        ends = [sorted(r[name] for r in rows if r["label"] in kinds) for kinds in ((0,), (0, 1))]
+        for x in sorted({(v[i] + below[v[i]]) / 2 for v in ends for k in range(cuts) if v[i := len(v) * k // cuts] in below} if ends[0] else ()):
             for up in (True, False):
                 tests[name, up, x] = bits((lambda i, r: r[name] >= x) if up else (lambda i, r: r[name] <= x))  # noqa: B023
 
@@ -139,11 +142,20 @@ def learn_rules(rows: list[dict], features: list[str] = FEATURES, cuts: int = 24
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **options) -> list[Rule]:
-    """Rules from the labelled rows (quality) of docs that are not held out, at most per_class of each class."""
+    """Rules from the labelled rows (quality) of docs that are not held out, at most per_class of each class.
+
+    Rows that fail the base are left out: rules have to tell apart only what the base lets pass. Repeated rows of an id
+    count once; ids with both labels not at all.
+    """
     sample = labelled_sample(labels, "quality", per_class)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = statistics(picked.dropDuplicates(["doc_id"])).join(F.broadcast(sample), "doc_id").select("doc_id", "label", *FEATURES).collect()
-    return learn_rules(sorted((r.asDict() for r in rows), key=lambda r: r["doc_id"]), **options)
+    rows = statistics(picked.dropDuplicates(["doc_id"])).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "n_words", "n_repeat_words", *FEATURES).collect()
+    passed = [r.asDict() for r in rows if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
+    return learn_rules(sorted(passed, key=lambda r: r["doc_id"]), **options)
+
+
+def _fails_base() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -160,8 +172,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     Null texts count as empty; texts under 50 words fail the base and are not kept. Repeated rows and null ids stay
     as they are; other columns of docs are ignored; an empty table gives an empty result.
     """
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = statistics(docs).withColumns({"base_failed": base, "rule": verdict(rules)})
+    out = statistics(docs).withColumns({"base_failed": _fails_base(), "rule": verdict(rules)})
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
 
 

@@ -1,6 +1,9 @@
+import os
 import re
 from collections import Counter
 
+import pytest
+
 from docloom.llm import decision_list as dl
 
 
@@ -43,3 +46,18 @@ def test_no_labels_keep_all_that_pass_the_base(spark, corpus):
 def test_no_python_in_the_plan(spark, corpus):
     plan = dl.judge(corpus[0], [])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_held_out_rows_of_the_given_labels(spark):
+    """Of documents that pass the base, good ones are kept and bad ones go."""
+    from pyspark.sql import functions as F
+
+    from docloom.llm.shared import is_held_out
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged = dl.judge(docs, dl.fit_rules(docs, labels)).select("doc_id", "base_failed", "kept").collect()
+    truth = {r.doc_id: r.quality for r in labels.filter(is_held_out(F.col("doc_id"))).collect()}
+    held = [(truth[r.doc_id], r.kept) for r in judged if r.doc_id in truth and not r.base_failed]
+    good, bad = [k for q, k in held if q == 1], [k for q, k in held if q == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.1 * len(bad) and len(bad) >= 5

@@ -65,6 +65,8 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert len(held) > 50 and np.mean([(r.score >= 0.3) == (truth[r.doc_id] == 1) for r in held]) >= 0.95
     assert len(out) == 405 and all(0 <= r.score <= 1 for r in out)
     assert tox.with_toxicity(docs.select("doc_id", "text").limit(0), model).count() == 0
+    clash = tox.with_toxicity(docs.select("doc_id", "text", docs["text"].alias("Score")), model)
+    assert clash.columns == ["doc_id", "text", "Score", "_score"]
     none = tox.fit(docs, labels.limit(0))
     assert {r.score for r in tox.with_toxicity(docs.select("doc_id", "text").limit(5), none).collect()} == {0.5}
 
