@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -49,3 +50,30 @@ def test_links_pull_neighbours_together(spark):
     labels = {r.node: r.shard for r in sharding.propagate(spark.createDataFrame(links, "u long, v long"), 6, 140).collect()}
     cut = sum(labels[a] != labels[b] for a, b in links)
     assert cut <= 0.2 * len(links) and max(Counter(labels.values()).values()) <= 140
+
+
+def test_requests_against_a_plain_version(spark):
+    """On small graphs, in even and odd rounds: the shard of most smaller (larger) neighbours, if it beats the own one."""
+    rnd = random.Random(3)
+    for k in range(4):
+        pairs = {(a, b) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(60)) if a != b}
+        sym = sorted(pairs | {(b, a) for a, b in pairs})
+        of = {n: rnd.randrange(4) for n in range(30)}
+        want = {}
+        for u in {a for a, _ in sym}:
+            seen = [v for a, v in sym if a == u and ((v < u) if k % 2 == 0 else (v > u))]
+            votes = Counter(of[v] for v in seen)
+            if votes:
+                best = max(votes, key=lambda s: (votes[s], -s))
+                if votes[best] > votes.get(of[u], 0):
+                    want[u] = (best, min(v for v in seen if of[v] == best))
+        links, labels = spark.createDataFrame(sym, "u long, v long"), spark.createDataFrame(list(of.items()), "node long, shard int")
+        assert {r.node: (r.to, r.lead) for r in sharding.requests(links, labels, k).collect()} == want
+
+
+def test_large_groups_stay_whole(spark):
+    """Groups of nearly a shard's size each lie in one shard, whatever else has to be dealt."""
+    rows = [(100 * g + i, f"group {g}") for g in range(3) for i in range(55)] + [(1000 + i, f"text {i}") for i in range(435)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).collect()
+    check(got, 10)
+    assert all(len({r.shard for r in got if r.doc_id // 100 == g}) == 1 for g in range(3))
