@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from docloom.llm import bitplane, decision_list, latent, line_crf, line_spread, mixing, sharding, simhash, toxicity, warc
 
-_MODULES = ["latent", "decision_list", "toxicity", "bitplane", "mixing", "line_spread", "line_crf", "warc", "sharding", "simhash"]
+_MODULES = [latent, decision_list, toxicity, bitplane, mixing, line_spread, line_crf, warc, sharding, simhash]
 
 
 def queries() -> dict:
-    return {k: q for m in _MODULES for k, q in import_module(f"docloom.llm.{m}").QUERIES.items()}
+    return {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _MODULES for k, s in import_module(f"docloom.llm.{m}").ORACLE_SQL.items()}
+    return {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
