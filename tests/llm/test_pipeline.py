@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from docloom.llm import line_crf, mixing
 from docloom.llm.shared import written
-from tests.llm.test_simhash import plain_fingerprint, plain_roots
+from tests.llm.test_simhash import plain_roots, plain_similar, plain_wide
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,8 +26,8 @@ def test_stages_against_plain_versions(spark):
 
     rows = good.collect()
     unique = written(stages["near_dedup"](spark, good, SF), "t")
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in rows}
-    roots = plain_roots(set(fps.values()), lambda a, b: (a ^ b).bit_count() <= 3)
+    fps = {r.doc_id: plain_wide(r.text) for r in rows}
+    roots = plain_roots(set(fps.values()), plain_similar)
     least = {}
     for i, f in sorted(fps.items()):
         least.setdefault(roots[f], i)
