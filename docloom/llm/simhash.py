@@ -276,12 +276,13 @@ def _one_of_each(docs: DataFrame, id_col: str, text_col: str, stored: bool, widt
     best = written(best.withColumn("node", F.monotonically_increasing_id() if wide else F.col("fp")), "simhash-best")  # numbers hold, once written
     roots = connected_components(link(best.select("node", "fp")))
     named = best.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = named.groupBy("root").agg(F.min("best").alias("stays"), F.sum("n").alias("rows")).filter("rows > 1")
-    groups = written(named.select("fp", "root").join(groups, "root").select("fp", "stays.f", "stays.at"), "simhash-groups")
+    heads = named.groupBy("root").agg(F.min("best").alias("stays"), F.sum("n").alias("rows")).filter("rows > 1")
+    heads = written(heads, "simhash-heads")  # a table: Spark may split a hot group
+    groups = written(named.select("fp", "root").join(sized(heads), "root").select("fp", "stays.f", "stays.at"), "simhash-groups")
     other = (F.col("m.f") != F.col("g.f")) | (F.col("m.at") != F.col("g.at"))
     gone = marked.alias("m").join(groups.alias("g"), "fp").filter(other).select(F.col("m.f").alias(file), F.col("m.at").alias(at))
     gone = written(gone, "simhash-gone")
-    discard(marked, best, groups)
+    discard(marked, best, heads, groups)
     return placed.join(sized(gone), [file, at], "left_anti").select(*docs.columns)
 
 
