@@ -361,12 +361,18 @@ def score_histogram(spark, sf):
     return _vector(spark, sf).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
-@query("""WITH p AS (SELECT doc_id, lang, left(text, 200) AS a, replace(left(text, 200), 'e', 'o') AS b FROM documents WHERE length(text) > 0)
-    SELECT lang, count(*) AS n, round(avg(levenshtein(a, b) / length(a)::DOUBLE), 6) AS cer FROM p GROUP BY lang""")
+@query("""WITH w AS (SELECT doc_id, lang, text, unnest(range(0, length(text), 200)) AS i FROM documents WHERE length(text) > 0),
+    p AS (SELECT doc_id, lang, substring(text, i + 1, 200) AS a FROM w),
+    d AS (SELECT doc_id, lang, sum(levenshtein(a, replace(a, 'e', 'o'))) / sum(length(a))::DOUBLE AS rate FROM p GROUP BY doc_id, lang)
+    SELECT lang, count(*) AS n, round(avg(rate), 6) AS cer FROM d GROUP BY lang""")
 def cer(spark, sf):
-    a = F.substring("text", 1, 200)
-    rows = load(spark, sf, "documents").filter(F.char_length("text") > 0).select("lang", a.alias("a"), F.translate(a, "e", "o").alias("b"))
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.levenshtein("a", "b") / F.char_length("a")), 6).alias("cer"))
+    """The mean over documents of their rate of wrong characters, whole texts compared by aligned pieces of 200 characters."""
+    rows = spread(load(spark, sf, "documents").filter(F.char_length("text") > 0).select("doc_id", "lang", "text"))
+    piece = lambda i: F.substring(F.col("text"), (i * 200 + 1).cast("int"), F.lit(200))
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.char_length("text") / 200).cast("int") - 1), lambda i: F.levenshtein(piece(i), F.translate(piece(i), "e", "o")))
+    errors = F.aggregate(pieces, F.lit(0).cast("long"), lambda x, y: x + y)
+    rows = rows.select("lang", (errors / F.char_length("text")).alias("rate"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("rate"), 6).alias("cer"))
 
 
 # --- service ------------------------------------------------------------------------------------------------------
