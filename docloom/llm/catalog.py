@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import bitplane, decision_list, latent, line_crf, line_spread, mixing, sharding, simhash, toxicity, warc
+from docloom.llm import bitplane, collocations, decision_list, exact_dedup, importance, latent, line_crf, line_spread, mixing, sharding, simhash, toxicity, warc
 
-_MODULES = [latent, decision_list, toxicity, bitplane, mixing, line_spread, line_crf, warc, sharding, simhash]
+_MODULES = [latent, decision_list, toxicity, bitplane, mixing, line_spread, line_crf, warc, sharding, simhash, importance, exact_dedup, collocations]
 
 
 def queries() -> dict:
