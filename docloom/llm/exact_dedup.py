@@ -114,13 +114,14 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts of surely unique rows aren't shuffled; possibly repeated ones only where those that go are too many to broadcast.
     """
-    marks, plane, words = _marks(docs, id_col, text_col, stored)
+    docs = docs if stored else written(docs, "rows")  # both passes must find a row at the same place
+    marks, plane, words = _marks(docs, id_col, text_col, True)
     repeated = _probed(marks, plane, words)[1]
     heads = _heads(repeated)
     joined = repeated.join(sized(heads), "sha")
     gone = written(joined.filter((F.col("f") != F.col("best.f")) | (F.col("at") != F.col("best.at"))).select("f", "at"), "exact-gone")
     discard(marks, heads)
-    placed, file, at = with_place(docs, stored)
+    placed, file, at = with_place(docs, True)
     rows = placed.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(file).alias("f"), F.col(at).alias("at"), as_text(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64(F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)))).drop("text")
     alone, repeated = _probed(rows, plane, words)
