@@ -6,24 +6,31 @@ row of its document. Only numbers of pieces, their lengths and finished chunks l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import BLANKS, SPACE, estimate_tokens
+from docloom.operators.intervals import as_of, overlaps
 
 # Abbreviations whose full stop ends no sentence; ranks of legal headings.
-ABBREVIATIONS = (
-    "ts pgs gs ths bs ks cn ncs ông bà anh chị em cô chú bác tp q p h x tt ttp "
-    "đ kh k nđ qđ cv bc ttr nq ct tcvn iso iec ieee tr st stt vd vv no nr vol fig"
-).split()
+ABBREVIATIONS = [
+    "ts", "pgs", "gs", "ths", "bs", "ks", "cn", "ncs",
+    "ông", "bà", "anh", "chị", "em", "cô", "chú", "bác",
+    "tp", "q", "p", "h", "x", "tt", "ttp",
+    "đ", "kh", "k", "nđ", "qđ", "cv", "bc", "ttr", "nq", "ct",
+    "tcvn", "iso", "iec", "ieee",
+    "tr", "st", "stt", "vd", "vv", "v.v", "no", "nr", "vol", "fig",
+]
 LEGAL_LEVEL = {"phần": 1, "chương": 2, "mục": 3, "điều": 4, "phụ lục": 1}
 MARK = "\u0001"  # cannot occur in normalized text
 #: A run of closing punctuation and white space that ends a sentence: what stands before and after decides.
 _START = f"(?:^|[{SPACE}.])"
+_GAP = "\\.?\n?"  # what may stand between a word and the mark: a full stop, and the line's end
 SENTENCE_END = (
-    f"(?=[.!?…])(?<!{_START}(?iu:{'|'.join(ABBREVIATIONS)}))(?<!{_START}\\p{{L}})(?<![.!?…])"
+    f"(?=[.!?…])(?<!{_START}(?iu:{'|'.join(map(re.escape, ABBREVIATIONS))}){_GAP})(?<!{_START}\\p{{L}}{_GAP})(?<![.!?…])"
     f"([.!?…]+[\"'”’)\\]]*[{SPACE}]+)(?=[\\p{{Lu}}\\p{{Lt}}\\p{{Nd}}\"'“‘(\\-–—•])"
 )
 #: A number before a single mark and a digit after it stay together.
@@ -139,34 +146,43 @@ def pack(units: Column, tokens: Callable[[Column], Column], max_tokens: int, tai
     return F.get(F.transform(F.array(sizes), fold), F.lit(0))  # the one-element array names the sizes, worked out once
 
 
+def section_array(text: Column, respect_headings: bool = True) -> Column:
+    """(at, path, body) of the parts of a text that begin at its headings; the first one has no path if no heading starts it."""
+    none = "array<struct<pos:int,path:string>>"
+
+    def cut(t: Column, marks: Column) -> Column:
+        first = F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("path")))
+        starts = F.when(F.coalesce(F.get(marks, F.lit(0))["pos"] == 0, F.lit(False)), marks).otherwise(F.concat(first, marks))
+        ends = lambda s: F.transform(s, lambda x, i: F.struct(x["pos"].alias("at"), x["path"].alias("path"), F.substring(t, x["pos"] + 1, F.coalesce(F.get(s, i + 1)["pos"], F.char_length(t)) - x["pos"]).alias("body")))
+        return F.get(F.transform(F.array(starts), ends), F.lit(0))
+
+    marks = path_array(heading_array(text)) if respect_headings else F.array().cast(none)
+    # the one-element array names the headings, found once
+    found = F.get(F.transform(F.array(marks), lambda m: cut(text, m)), F.lit(0))
+    return F.filter(found, lambda s: s["body"] != "")
+
+
 def chunks(df: DataFrame, key: str = "doc_id", col: str = "norm", max_tokens: int = 768, overlap: float = 0.15, respect_headings: bool = True, tokens: Callable[[Column], Column] = estimate_tokens, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns of keep, chunk_index, char_start, char_end, token_count, heading_path, content of greedy chunks.
 
     Units are sentences of a section; a sentence over max_tokens is cut at blanks. Sections start at headings. A full
     chunk hands on its last units of at most max_tokens * overlap tokens. tokens counts those of a text column.
-    Everything happens in the row of a document: no text is shuffled or copied for each sentence.
+    Everything happens in the row of a document, numbering too: no text is shuffled or copied for each sentence.
     """
-    t = F.col(col)
-    first = F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("path")))
-    marks = path_array(heading_array(t)) if respect_headings else F.array().cast("array<struct<pos:int,path:string>>")
-    texts = df.select(key, *keep, t.alias("_t"), marks.alias("_marks"))
-    texts = texts.withColumn("_starts", F.when(F.coalesce(F.get("_marks", F.lit(0))["pos"] == 0, F.lit(False)), F.col("_marks")).otherwise(F.concat(first, F.col("_marks"))))
-    end = lambda i: F.coalesce(F.get("_starts", i + 1)["pos"], F.char_length("_t"))
-    section = F.transform("_starts", lambda s, i: F.struct(i.alias("no"), s["pos"].alias("at"), s["path"].alias("path"), F.substring("_t", s["pos"] + 1, end(i) - s["pos"]).alias("body")))
-    sections = texts.select(key, *keep, F.inline(F.filter(section, lambda s: s["body"] != "")))
+    texts = df.select(key, *keep, section_array(F.col(col), respect_headings).alias("_sections"))
     limit = max(200, int(max_tokens * 2.8))
-    unit = lambda s: F.when(tokens(s) <= max_tokens, F.array(s)).otherwise(hard_split(s, limit))
-    units = sections.select(key, *keep, "no", "at", "path", F.flatten(F.transform(sentence_array(F.col("body")), unit)).alias("_u"))
-    runs = units.withColumn("_runs", pack(F.col("_u"), tokens, max_tokens, int(max_tokens * overlap)))
     blank = F.lit(BLANKS)
-    body = lambda r: F.array_join(F.slice("_u", r["a"] + 1, r["b"] - r["a"] + 1), "")
-    cut = F.transform("_runs", lambda r: F.struct(r["a"].alias("_k"), r["lo"].alias("_lo"), body(r).alias("_raw")))
-    raw = runs.select(key, *keep, "no", "at", "path", F.inline(cut))
-    raw = raw.withColumn("content", F.btrim("_raw", blank)).filter("content <> ''")
-    start = (F.col("at") + F.col("_lo") + F.char_length("_raw") - F.char_length(F.ltrim("_raw", blank))).cast("int")
-    raw = raw.select(key, *keep, "no", "_k", start.alias("char_start"), (start + F.char_length("content")).alias("char_end"), tokens(F.col("content")).alias("token_count"), F.col("path").alias("heading_path"), "content")
-    index = F.row_number().over(Window.partitionBy(key).orderBy("no", "_k")) - 1
-    return raw.withColumn("chunk_index", index).select(key, *keep, "chunk_index", "char_start", "char_end", "token_count", "heading_path", "content")
+    unit = lambda s: F.when(tokens(s) <= max_tokens, F.array(s)).otherwise(hard_split(s, limit))
+    cut = lambda s: F.struct(s["at"].alias("at"), s["path"].alias("path"), F.flatten(F.transform(sentence_array(s["body"]), unit)).alias("u"))
+    packed = lambda s: F.struct(s["at"].alias("at"), s["path"].alias("path"), s["u"].alias("u"), pack(s["u"], tokens, max_tokens, int(max_tokens * overlap)).alias("runs"))
+    body = lambda s, r: F.array_join(F.slice(s["u"], r["a"] + 1, r["b"] - r["a"] + 1), "")
+    made = lambda s: F.transform(s["runs"], lambda r: F.struct((s["at"] + r["lo"]).alias("at"), s["path"].alias("path"), body(s, r).alias("raw")))
+    units = F.transform("_sections", cut)
+    each = F.filter(F.flatten(F.transform(F.transform(units, packed), made)), lambda c: F.btrim(c["raw"], blank) != "")
+    raw = texts.select(key, *keep, F.posexplode(each).alias("chunk_index", "_c")).select(key, *keep, "chunk_index", "_c.*")
+    start = (F.col("at") + F.char_length("raw") - F.char_length(F.ltrim("raw", blank))).cast("int")
+    raw = raw.select(key, *keep, "chunk_index", start.alias("char_start"), F.col("path").alias("heading_path"), F.btrim("raw", blank).alias("content"))
+    return raw.select(key, *keep, "chunk_index", "char_start", (F.col("char_start") + F.char_length("content")).alias("char_end"), tokens(F.col("content")).alias("token_count"), "heading_path", "content")
 
 
 def hard_split(text: Column, limit: int) -> Column:
@@ -178,19 +194,27 @@ def hard_split(text: Column, limit: int) -> Column:
 
 
 def fixed_chunks(df: DataFrame, key: str = "doc_id", col: str = "norm", size: int = 800, overlap: int = 120) -> DataFrame:
-    """Windows of a fixed size with an overlap."""
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(col) - 1), F.lit(size - overlap)))
-    each = df.select(key, col, at.alias("char_start"))
-    content = F.substring(col, F.col("char_start") + 1, F.lit(size))
-    return each.select(key, "char_start", (F.col("char_start") + F.char_length(content)).alias("char_end"), content.alias("content")).filter("content <> ''")
+    """Windows of a fixed size with an overlap: the text is cut once into steps, and a window joins those that it touches."""
+    step = size - overlap
+    steps = F.regexp_extract_all(F.col(col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    window = lambda i: F.substring(F.array_join(F.slice("_steps", i + 1, F.lit(1 - (-overlap // step))), ""), 1, size)
+    each = df.select(key, steps.alias("_steps")).select(key, F.posexplode(F.transform("_steps", lambda _, i: window(i))).alias("_i", "content"))
+    return each.select(key, (F.col("_i") * step).alias("char_start"), (F.col("_i") * step + F.char_length("content")).alias("char_end"), "content")
 
 
 def chunk_document(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """Chunks of assembled documents (key, full_text, pages, blocks), with page_no and bbox.
 
-    A chunk belongs to the page on which it begins; its boxes are those of the blocks that it overlaps.
+    A chunk belongs to the page on which it begins, 0 without pages; its boxes are those of the blocks that it overlaps, in
+    the order of the text. Pages and boxes are joined as intervals, so a chunk's row holds its own only.
     """
-    from docloom.sources.extract import bboxes_for, page_of
-
-    made = chunks(docs, key, "full_text", keep=("pages", "blocks"), **options)
-    return made.withColumns({"page_no": page_of(F.col("pages"), F.col("char_start")), "bbox": bboxes_for(F.col("blocks"), F.col("char_start"), F.col("char_end"))}).drop("pages", "blocks")
+    made = chunks(docs, key, "full_text", **options)
+    pages = docs.select(key, F.inline("pages")).select(key, F.col("start").alias("_page_at"), F.col("page").alias("page_no"))
+    blocks = docs.select(key, F.inline("blocks")).filter("bbox is not null").select(key, F.col("char_start").alias("_s"), F.col("char_end").alias("_e"), F.col("bbox").alias("_box"))
+    places = made.select(key, "chunk_index", "char_start", "char_end")
+    hit = overlaps(places, blocks, key, ("char_start", "char_end"), ("_s", "_e"))
+    boxes = hit.groupBy(key, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_s", "_e", "_box"))).alias("_b"))
+    boxes = boxes.select(key, "chunk_index", F.transform("_b", lambda b: b["_box"]).alias("bbox"))
+    paged = as_of(places.select(key, "chunk_index", "char_start"), pages, key, "char_start", "_page_at", "page_no").select(key, "chunk_index", F.coalesce("page_no", F.lit(0)).alias("page_no"))
+    out = made.join(paged, [key, "chunk_index"]).join(boxes, [key, "chunk_index"], "left")
+    return out.withColumn("bbox", F.coalesce("bbox", F.array().cast(boxes.schema["bbox"].dataType)))

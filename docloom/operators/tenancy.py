@@ -1,10 +1,12 @@
-"""Who may see what: owners' notebooks, shared links, deletion down the tree, totals; changed and stored chunks."""
+"""Who may see what: owners' notebooks, shared links, deletion down the tree, totals; changed chunks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import delete, exists, stored
+
 
 def visible(requests: DataFrame, notebooks: DataFrame) -> DataFrame:
     """The requests (notebook_id, user_id, ..) for a notebook of that user; a foreign one is as if it weren't there."""
@@ -34,12 +36,20 @@ def changed_chunks(new: DataFrame, old: DataFrame, key: str = "doc_id") -> DataF
 
 
 def store_chunks(chunks: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> None:
-    """Write all chunks of the sources at hand in place of what their buckets hold; doing it twice changes nothing.
+    """Write the chunks of the sources at hand in place of what a plain table has of them; other sources stay as they are.
 
-    chunks must hold every source of a bucket that it touches. Only touched buckets are written.
+    Buckets that hold one of the sources are read, put together with the new rows in the shared folder and written anew; doing
+    it twice changes nothing. chunk_store.ChunkStore keeps versions and chunks only what has changed.
     """
-    bucketed = chunks.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    spark = chunks.sparkSession
+    new, rows, new_at = stored(chunks.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "chunks-new")
+    if rows and exists(spark, f"{path}/_SUCCESS"):
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        had = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+        new = new.unionByName(had.join(new.select(key).distinct(), key, "left_anti"))
+    both, _, at = stored(new, "chunks-both")
+    both.repartition("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    delete(spark, new_at, at)
 
 
 def ratio(flag: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import estimate_tokens, lexemes, normalized, query_parts, sql_bare, sql_norm, sql_tokens, strip_accents
 from docloom.operators import evaluation, quality, retrieval, segments, service
+from docloom.operators.intervals import as_of, overlaps
 from docloom.sources.tables import load, spread
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -93,8 +94,8 @@ _S = " \\t\\n\\x{2028}\\x{2029}"
 SENTENCES = f"""
     {DOCS},
     pieces AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?s).*?[.!?…]+["''”’)\\]]*[{_S}]+|.+')) AS piece, generate_subscripts(regexp_extract_all(t, '(?s).*?[.!?…]+["''”’)\\]]*[{_S}]+|.+'), 1) AS i FROM d),
-    ends AS (SELECT doc_id, i, piece, left(lead(piece) OVER w, 1) AS nxt, regexp_extract(piece, '(?s)^(.*?)[.!?…]+["''”’)\\]]*[{_S}]+$', 1) AS before FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-    prevs AS (SELECT *, regexp_extract(before, '([^{_S}.]+)\\.?$', 1) AS prev FROM ends),
+    ends AS (SELECT doc_id, i, piece, left(lead(piece) OVER w, 1) AS nxt, regexp_extract(piece, '(?s)^(.*?)[.!?…]+["''”’)\\]]*[{_S}]+$', 1) AS before, coalesce(lag(piece) OVER w, '') AS last FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    prevs AS (SELECT *, regexp_extract(CASE WHEN before = '' THEN last ELSE before END, '([^{_S}.]+)\\.?\\n?$', 1) AS prev FROM ends),
     cuts AS (SELECT doc_id, i, piece, nxt IS NULL OR (NOT list_contains({segments.ABBREVIATIONS}, lower(prev)) AND NOT regexp_matches(prev, '^\\p{{L}}$')
         AND NOT (regexp_matches(right(before, 1), '\\p{{Nd}}') AND regexp_matches(nxt, '\\p{{Nd}}')) AND regexp_matches(nxt, '[\\p{{Lu}}\\p{{Lt}}\\p{{Nd}}"''“‘(\\-–—•]')) AS is_end FROM prevs),
     groups AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM cuts),
@@ -197,10 +198,9 @@ PAGE = 1500  # characters of a page where a page map is derived
 def chunk_page_lookup(spark, sf):
     df = norm_docs(spark, sf).filter("norm <> ''")
     starts = F.sequence(F.lit(0), F.char_length("norm") - 1, F.lit(PAGE))
-    pages = df.withColumn("pages", F.transform(starts, lambda s, i: F.struct((i + 1).alias("page"), s.alias("s"), F.least(F.char_length("norm"), s + PAGE).alias("e"))))
-    c = segments.fixed_chunks(df).select("doc_id", "char_start").join(pages.select("doc_id", "pages"), "doc_id")
-    inside = F.filter("pages", lambda p: (p["s"] <= F.col("char_start")) & (F.col("char_start") < p["e"]))
-    return c.select("doc_id", "char_start", F.coalesce(F.get(inside, F.lit(0))["page"], F.try_element_at("pages", F.lit(-1))["page"], F.lit(0)).cast("int").alias("page_no"))
+    pages = df.select("doc_id", F.posexplode(starts).alias("i", "page_at")).select("doc_id", "page_at", (F.col("i") + 1).alias("page_no"))
+    placed = as_of(segments.fixed_chunks(df).select("doc_id", "char_start"), pages, "doc_id", "char_start", "page_at", "page_no")
+    return placed.select("doc_id", "char_start", F.coalesce("page_no", F.lit(0)).alias("page_no"))
 
 
 @query(f"""WITH {DOCS}, w AS (SELECT doc_id, unnest(range(0, greatest(1, length(t)), 680)) AS a, length(t) AS n FROM d WHERE t <> ''), c AS (SELECT doc_id, a, least(n, a + 800) AS e FROM w),
@@ -210,7 +210,7 @@ def chunk_bbox_overlap(spark, sf):
     df = norm_docs(spark, sf).filter("norm <> ''")
     blocks = segments.spans(df, F.transform(F.split("norm", "\n"), lambda x: F.concat(x, F.lit("\n"))), "doc_id", "i").select("doc_id", "i", F.col("char_start").alias("s"), (F.col("char_end") - 1).alias("e"))
     c = segments.fixed_chunks(df).select("doc_id", "char_start", "char_end")
-    hit = c.join(blocks, "doc_id").filter((F.col("s") < F.col("char_end")) & (F.col("e") > F.col("char_start")))
+    hit = overlaps(c, blocks, "doc_id", ("char_start", "char_end"), ("s", "e"))
     return hit.groupBy("doc_id", "char_start").agg(F.count("*").alias("blocks"), (F.min("i") + 1).alias("first_block"))
 
 

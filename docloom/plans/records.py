@@ -5,18 +5,20 @@ Customers stand for users, orders for their notebooks, line items for sources; e
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import UNSTABLE, is_normalized, nfc, normalized, sql_bare, sql_norm, sql_tokens
 from docloom.operators import answers, evaluation, quality, segments, service, tenancy
+from docloom.operators.chunk_store import ChunkStore
+from docloom.operators.chunk_store import windows as chunk_store_windows
 from docloom.operators.quality import FUNCTION_WORDS, LETTER_WORD
 from docloom.plans.catalog import CHUNKS, DOCS, HEADINGS, _marked_up, norm_docs, query
 from docloom.sources import extract, uploads
+from docloom.sources.shared import fresh_path
 from docloom.sources.tables import load, spread
 from docloom.streaming import windows
+from docloom.streaming.lifecycle import TRANSITIONS
 
 # --- text and gate --------------------------------------------------------------------------------------------------
 
@@ -124,7 +126,7 @@ def upload_validation(spark, sf):
 def download_manifest(spark, sf):
     """A list of downloads with what became of each, written as CSV and read back."""
     rows = load(spark, sf, "pages").select("page_id", "url", uploads.download_status(F.col("html"), "<!DOCTYPE", 2000).alias("status"), F.octet_length("html").cast("long").alias("bytes"))
-    path = f"{windows.shared_dir(spark)}/manifest-{uuid4().hex}"
+    path = fresh_path(spark, "manifest")
     uploads.write_manifest(rows, path)
     return uploads.read_manifest(spark, path, "page_id long, url string, status string, bytes long")
 
@@ -133,7 +135,7 @@ def download_manifest(spark, sf):
 def question_set(spark, sf):
     """Questions with their kind, written as JSON lines and read back."""
     rows = load(spark, sf, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 3 == 0, "lookup").otherwise("summary").alias("kind"))
-    path = f"{windows.shared_dir(spark)}/questions-{uuid4().hex}"
+    path = fresh_path(spark, "questions")
     uploads.write_questions(rows, path)
     return uploads.read_questions(spark, path, "item_id long, text string, kind string")
 
@@ -166,7 +168,18 @@ def _assembled(spark, sf):
     return extract.assemble(lines.select("doc_id", page.alias("page"), "block_no", "text", box.alias("bbox")))
 
 
-@query()
+_ASSEMBLED = f"""{DOCS.replace("d AS (", "d0 AS (", 1)},
+    l0 AS (SELECT doc_id, trim(unnest(string_split(t, chr(10))), ' ' || chr(9) || chr(10)) AS x, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i FROM d0),
+    l1 AS (SELECT *, CAST(i // 3 + 1 AS INTEGER) AS page, max(x <> '') OVER p AS has, row_number() OVER (p ORDER BY i) AS k FROM l0 WINDOW p AS (PARTITION BY doc_id, i // 3)),
+    bl AS (SELECT doc_id, i, page, x, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(x) - 1 AS s, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM l1 WHERE x <> '' OR (NOT has AND k = 1)),
+    d AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) || chr(10) AS t FROM bl GROUP BY doc_id)"""
+
+
+@query(f"""WITH RECURSIVE {CHUNKS.replace(DOCS, _ASSEMBLED)}, cs AS (SELECT doc_id, chunk_index, char_start, CAST(char_start + length(content) AS INTEGER) AS char_end FROM chunks),
+    hit AS (SELECT c.doc_id, c.chunk_index, b.i, b.s FROM cs c JOIN bl b ON b.doc_id = c.doc_id AND b.x <> '' AND b.s < c.char_end AND b.e > c.char_start),
+    bx AS (SELECT doc_id, chunk_index, CAST(count(*) AS INTEGER) AS boxes, CAST(arg_min(i, s) AS INTEGER) AS first_block FROM hit GROUP BY ALL),
+    pg AS (SELECT c.doc_id, c.chunk_index, arg_max(b.page, b.s) AS page_no FROM cs c JOIN bl b ON b.doc_id = c.doc_id AND b.s <= c.char_start GROUP BY ALL)
+    SELECT doc_id, chunk_index, char_start, char_end, page_no, coalesce(boxes, 0) AS boxes, first_block FROM cs JOIN pg USING (doc_id, chunk_index) LEFT JOIN bx USING (doc_id, chunk_index)""")
 def document_chunks(spark, sf):
     """Chunks of assembled documents with the page on which they begin and the boxes that they overlap."""
     made = segments.chunk_document(_assembled(spark, sf))
@@ -198,11 +211,11 @@ def rechunk_changes(spark, sf):
 
 @query(f"WITH {DOCS}, o AS (SELECT doc_id, substring(t, a + 1, 800) AS x FROM (SELECT doc_id, t, {_FIXED} FROM d)) SELECT doc_id, count(*) AS chunks FROM o WHERE x <> '' GROUP BY doc_id")
 def chunk_store(spark, sf):
-    """Chunks stored twice: the second time takes the place of the first."""
-    path = f"{windows.shared_dir(spark)}/chunks-{uuid4().hex}"
+    """Chunks stored twice: the second time writes nothing."""
+    store = ChunkStore(spark, fresh_path(spark, "chunks"), cut=lambda t: segments.section_array(t, False), make=chunk_store_windows)
     for _ in range(2):
-        tenancy.store_chunks(segments.fixed_chunks(norm_docs(spark, sf)), path)
-    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+        store.put(norm_docs(spark, sf))
+    return store.chunks().groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
 
 @query(f"""WITH {_PAGES}, p AS (SELECT doc_id, count(*) AS pages FROM pg GROUP BY doc_id), c AS (SELECT doc_id, len(range(0, greatest(1, length(t)), 680)) AS chunks FROM d WHERE t <> '')
@@ -337,7 +350,7 @@ def status_transitions(spark, sf):
     """Events as statuses of a source for each user: which may follow the one before."""
     names = F.create_map(*[F.lit(x) for x in ("signup", "queued", "view", "parsing", "click", "chunking", "purchase", "embedding", "error", "failed")])
     rows = load(spark, sf, "events").select(F.col("user_id").alias("source_id"), "event_id", F.col("ts").alias("at"), names[F.col("event_type")].alias("status"))
-    return service.transitions(rows, windows.TRANSITIONS).select("event_id", "status", "before", "valid")
+    return service.transitions(rows, TRANSITIONS).select("event_id", "status", "before", "valid")
 
 
 @query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events QUALIFY place <= 10")

@@ -10,17 +10,26 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import normalized
 
-# Style names of headings and lists.
-HEADING = "(?iu)^(?:heading|tiêu đề|đề mục)\\s*(\\d+)$"
-TITLE = "(?iu)^(?:title|tiêu đề)$"
-LIST = "(?iu)^(?:list bullet|list number|list paragraph|danh sách)"
+# Beginnings of the style names of headings and lists, and the names of titles.
+HEADINGS = ["heading", "tiêu đề", "đầu đề"]
+TITLES = ["title", "tiêu đề chính"]
+LISTS = ["list bullet", "list number", "list paragraph", "danh sách"]
 SCAN_CHARS, SCAN_SHARE = 100, 0.5
 
 
+def heading_level(style: Column) -> Column:
+    """The level of a heading by its style: the number after a heading's name, 6 at most, and 1 without a number; titles are 1."""
+    name = F.lower(F.regexp_replace(style, "^\\s+|\\s+$", ""))
+    number = F.regexp_extract(name, f"^(?:{'|'.join(HEADINGS)})\\s*(\\d+)$", 1)
+    numbered = F.when(number != "", F.least(F.lit(6), F.coalesce(number.try_cast("int"), F.lit(6))))
+    return F.coalesce(numbered, F.when(name.rlike(f"^(?:{'|'.join(HEADINGS)})") | name.isin(*TITLES), 1))
+
+
 def styled(style: Column, text: Column) -> Column:
     """A paragraph in Markdown by its style: headings up to level 6, list items, or as it is."""
-    level = F.when(style.rlike(TITLE), 1).when(style.rlike(HEADING), F.least(F.lit(6), F.regexp_extract(style, HEADING, 1).try_cast("int")))
-    return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).when(style.rlike(LIST), F.concat(F.lit("- "), text)).otherwise(text)
+    level = heading_level(style)
+    is_list = F.lower(F.regexp_replace(style, "^\\s+", "")).rlike(f"^(?:{'|'.join(LISTS)})")
+    return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).when(is_list, F.concat(F.lit("- "), text)).otherwise(text)
 
 
 def table_markdown(rows: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,27 +1,26 @@
-"""Structured Streaming: quotas and lockouts in event time, ingestion by micro-batch, the lifecycle of sources."""
+"""Structured Streaming: quotas and lockouts in event time, ingestion by micro-batch."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from uuid import uuid4
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.functions.text import normalized
 from docloom.operators import quality, segments
+from docloom.sources.shared import is_folder, shared_dir
+from docloom.streaming.lifecycle import TRANSITIONS  # noqa: F401 (its former place)
 
-# Which status may follow which.
-TRANSITIONS = {None: ["queued"], "queued": ["parsing", "failed"], "parsing": ["ocr", "chunking", "failed"], "ocr": ["chunking", "failed"], "chunking": ["embedding", "failed"], "embedding": ["ready", "failed"], "ready": ["queued"], "failed": ["queued"]}
 
-
-def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table of a dataset folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+def table_stream(spark: SparkSession, folder: str, table: str, files_a_trigger: int | None = None) -> DataFrame:
+    """A table of a dataset folder as a stream of its files, whether it is one file or a folder of them."""
+    path = f"{folder}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_a_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_a_trigger)
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def quota_stream(calls: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -53,11 +52,6 @@ def to_end(counts: DataFrame) -> DataFrame:
     return spark.read.schema(counts.schema).parquet(f"{folder}/epoch-{max(done)}")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return base.rstrip("/")
-
-
 def ingest(texts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that normalizes, grades and chunks each micro-batch (doc_id, text) and hands the chunks to sink."""
 
@@ -66,36 +60,3 @@ def ingest(texts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
         sink(segments.chunks(normalized(batch.select("doc_id", "text")).join(graded, "doc_id", "left_semi")), epoch)
 
     return texts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def advance(statuses: list[str], last: str | None) -> tuple[list[bool], str | None]:
-    """Which of the statuses may follow in turn, and the last one that holds."""
-    valid = []
-    for status in statuses:
-        valid.append(status in TRANSITIONS.get(last, []))
-        last = status if valid[-1] else last
-    return valid, last
-
-
-def lifecycle(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
-    """source_id, status, valid per event of a stream (source_id, status, at); sources idle too long in between fail."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"source_id": [key[0]], "status": ["failed"], "valid": [True]})
-            return
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-        valid, last = advance(rows["status"].tolist(), last)
-        if last in (None, "ready", "failed"):
-            if state.exists:
-                state.remove()
-            if last:
-                state.update((last,))
-        else:
-            state.update((last,))
-            state.setTimeoutDuration(timeout_minutes * 60_000)
-        yield pd.DataFrame({"source_id": key[0], "status": rows["status"].tolist(), "valid": valid})
-
-    return events.groupBy("source_id").applyInPandasWithState(step, "source_id string, status string, valid boolean", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)

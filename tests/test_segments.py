@@ -38,13 +38,12 @@ def frame(spark, texts):
 def test_sentences_match_the_rule_and_cover_the_text(spark):
     rnd = random.Random(0)
     parts = ["TS", "A", "từ", "Xin", "12", "5", ".", "!", "…", " ", "\n", "\"", ")", "(", "-", "vd", "Hà Nội", "tp", "chữ"]
-    texts = SAMPLES + ["".join(rnd.choice(parts) + rnd.choice(["", " ", ". ", "! "]) for _ in range(rnd.randint(1, 25))) for _ in range(300)]
+    texts = SAMPLES + ["".join(rnd.choice(parts) + rnd.choice(["", " ", ". ", "! "]) for _ in range(rnd.randint(1, 25))) for _ in range(3000)] + ["tp\n. 5A", "tp.\n. 5A", "x\n! Có", "v.v. Và", "v.v\n. Và"]
     rows = frame(spark, texts).select("doc_id", segments.sentence_array(F.col("norm")).alias("s")).collect()
     got = {r.doc_id: r.s for r in rows}
     for i, t in enumerate(texts):
         assert "".join(got[i]) == t
-    differ = [t for i, t in enumerate(texts) if got[i] != plain_sentences(t)]
-    assert len(differ) <= 0.02 * len(texts), differ[:3]  # runs of punctuation after blanks look back further
+    assert [t for i, t in enumerate(texts) if got[i] != plain_sentences(t)] == []
     spans = segments.sentences(frame(spark, SAMPLES)).collect()
     assert all(SAMPLES[r.doc_id][r.char_start : r.char_end] == got[r.doc_id][r.sent_no] for r in spans)
 
