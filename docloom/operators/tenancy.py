@@ -43,7 +43,7 @@ def store_chunks(chunks: DataFrame, path: str, key: str = "doc_id", buckets: int
     """
     spark = chunks.sparkSession
     new, rows, new_at = stored(chunks.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "chunks-new")
-    if rows and exists(spark, f"{path}/_SUCCESS"):
+    if rows and exists(spark, path):
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
         had = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
         new = new.unionByName(had.join(new.select(key).distinct(), key, "left_anti"))
