@@ -14,19 +14,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.retrieval import TOP_N, dot, length, top
+from docloom.operators.retrieval import TOP_N, length, top
 from docloom.sources.shared import delete, stored
 
 #: Vectors for each cell in the sample on which k-means is fit, about; the most cells; its rounds.
 FIT, MOST_CELLS, ROUNDS = 256, 4096, 6
 #: Vectors compared with all centres at once.
 AT_ONCE = 1024
-#: Pairs of question and cell that are broadcast; more are joined by sort and merge.
-MOST_BROADCAST = 50_000
+#: Vectors and questions that are compared in one group; larger cells are cut into chunks, each two of which meet.
+CHUNK = 4096
 #: Scores are rounded to six places; bounds allow for that and for rounding of distances.
 SLACK = 1e-6
 
@@ -168,22 +168,67 @@ def _probes(index: Cells, enough: int):
     return run
 
 
-def search(index: Cells, queries: DataFrame, n: int = TOP_N, rule: Column | None = None, key: str = "vec_id", col: str = "embedding") -> DataFrame:
+def _raw_scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of rows, with sums in the order in which retrieval.dot takes them, so that both give the same doubles."""
+
+    def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a))
+        for d in range(a.shape[1]):
+            total += a[:, d] * b[:, d]
+        return total
+
+    return dots(v, q) / (np.sqrt(dots(v, v)) * np.sqrt(dots(q, q)))
+
+
+def _scorer(n: int, key: str, col: str, same: list[tuple[str, str]], other: list[tuple[str, str]]):
+    """(query_id, key, raw) of a chunk of vectors and one of questions: the n best of each question, and all as good as these."""
+
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(vectors) and len(asked):
+            matrix = lambda t, c: np.array(t.column(c).to_pylist(), dtype=np.float64)
+            v, q = matrix(vectors, col), matrix(asked, "qvec")
+            units, wanted = _unit(v), _unit(q)
+            values = lambda t, c: t.column(c).to_numpy(zero_copy_only=False)
+            for i in range(0, len(q), 256):
+                some = slice(i, i + 256)
+                near = wanted[some] @ units.T
+                for pairs, equal in ((same, True), (other, False)):
+                    for mine, theirs in pairs:
+                        near[(values(vectors, mine)[None, :] == values(asked, theirs)[some, None]) != equal] = -np.inf
+                least = np.partition(near, -n, axis=1)[:, -n] if len(v) > n else np.full(len(near), -np.inf)
+                a, b = np.nonzero((near >= least[:, None] - 2 * SLACK) & (near > -np.inf))
+                out.append((a + i, b, _raw_scores(v[b], q[a + i])))
+        rows = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([asked.column("query_id").take(pa.array(rows[0])), vectors.column(key).take(pa.array(rows[1])), pa.array(rows[2])], ["query_id", key, "raw"])
+
+    return run
+
+
+def search(index: Cells, queries: DataFrame, n: int = TOP_N, same: list[tuple[str, str]] = (), other: list[tuple[str, str]] = (), key: str = "vec_id", col: str = "embedding") -> DataFrame:
     """(query_id, key, score, rnk) of the n best vectors of each question: exactly those of retrieval.vector_search.
 
-    queries: query_id, qvec and what rule compares with the columns of the vectors; a rule holds before anything is ranked,
-    so a question whose scope is thin probes on until n of its vectors are found or no cell is left. Questions without a
-    vector, or of length 0, have no results. Each round is one scan of the cells that some question asks for. Only the
-    numbers of those cells reach the driver; results are a table of n rows a question.
+    queries: query_id, qvec and the second columns of same and other. A vector counts for a question only if each pair of
+    columns (of the vector, of the question) in `same` is equal and each in `other` differs, before anything is ranked; so a
+    question whose scope is thin probes on until n of its vectors are found or no cell is left. Null matches nothing.
+    Questions without a vector, or of length 0, have no results. Each round is one scan of the cells that some question asks
+    for; pairs are compared as matrices, by chunks of cells, and never become rows. A number a cell reaches the driver;
+    results are a table of n rows a question.
     """
     spark = queries.sparkSession
-    asked = queries.filter(F.coalesce(length(F.col("qvec")) > 0, F.lit(False)))
-    more = [c for c in asked.columns if c not in ("query_id", "qvec")]
-    kind = asked.schema["qvec"].dataType
-    fields = [T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("qvec", kind)]
+    known = F.coalesce(length(F.col("qvec")) > 0, F.lit(False))
+    for _, theirs in (*same, *other):
+        known = known & F.col(theirs).isNotNull()
+    more = sorted({theirs for _, theirs in (*same, *other)} - {"query_id"})
+    asked = queries.filter(known).select("query_id", "qvec", *more)
+    fields = [T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("qvec", asked.schema["qvec"].dataType)]
     schema = T.StructType([*fields, T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("done", T.IntegerType()), T.StructField("seen", T.LongType())])
+    of_vector = T.StructField(key, index.schema[key].dataType)
     state = asked.select("query_id", "qvec", F.lit(None).cast("double").alias("least"), F.lit(0).alias("done"), F.lit(0).cast("long").alias("seen"))
     vectors, best, old = index.vectors(spark), None, []
+    for mine, _ in (*same, *other):
+        vectors = vectors.filter(F.col(mine).isNotNull())
+    vectors = vectors.select(*dict.fromkeys([key, col, "cell", *[mine for mine, _ in (*same, *other)]]))
     while len(index.rows):
         probes, left, at = stored(state.mapInArrow(_probes(index, 4 * n), schema), "cells-probes")
         old.append(at)
@@ -192,14 +237,14 @@ def search(index: Cells, queries: DataFrame, n: int = TOP_N, rule: Column | None
         pairs = probes.select("query_id", "qvec", F.explode("cells").alias("cell"))
         counts = dict(pairs.groupBy("cell").count().collect())
         index.reads.append({"vectors": int(sum(index.rows[c] for c in counts)), "pairs": int(sum(index.rows[c] * k for c, k in counts.items()))})
-        pairs = pairs.withColumn("_qlength", length(F.col("qvec")))
-        if more:
-            pairs = pairs.join(asked.select("query_id", *more), "query_id")
-        small = F.broadcast(pairs) if sum(counts.values()) <= MOST_BROADCAST else pairs
-        both = vectors.filter(F.col("cell").isin(list(counts))).withColumn("_length", length(F.col(col))).join(small, "cell")
-        both = both if rule is None else both.filter(rule)
-        score = F.try_divide(dot(F.col(col), F.col("qvec")), F.col("_length") * F.col("_qlength"))
-        found = both.select("query_id", key, F.round(score, 6).alias("score"))
+        parts = [(int(c), int(-(-index.rows[c] // CHUNK)), int(-(-k // CHUNK))) for c, k in counts.items()]  # a row a cell
+        cut = F.broadcast(spark.createDataFrame(parts, "cell int, v_parts int, q_parts int"))
+        dealt = lambda df, by, own, others: df.join(cut, "cell").withColumn(f"_{own}", F.pmod(F.xxhash64(by), F.col(f"{own}_parts"))).withColumn(f"_{others}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{others}_parts").cast("long") - 1))).drop("v_parts", "q_parts")
+        pairs = pairs.join(asked.select("query_id", *more), "query_id") if more else pairs
+        one = dealt(vectors.filter(F.col("cell").isin(list(counts))), key, "v", "q").groupBy("cell", "_v", "_q")
+        two = dealt(pairs, "query_id", "q", "v").groupBy("cell", "_v", "_q")
+        found = one.cogroup(two).applyInArrow(_scorer(n, key, col, list(same), list(other)), T.StructType([fields[0], of_vector, T.StructField("raw", T.DoubleType())]))
+        found = found.select("query_id", key, F.round("raw", 6).alias("score"))
         found = found if best is None else found.unionByName(best.drop("rnk"))
         best, _, at = stored(top(found, "query_id", key, n), "cells-best")
         last = best.filter(F.col("rnk") == n).select("query_id", F.col("score").alias("least"))
@@ -207,5 +252,5 @@ def search(index: Cells, queries: DataFrame, n: int = TOP_N, rule: Column | None
         old.append(at)
     delete(spark, *[p for p in old if best is None or p != old[-2]])  # the last results stay
     if best is None:
-        return spark.createDataFrame([], T.StructType([fields[0], T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType()), T.StructField("rnk", T.IntegerType())]))
+        return spark.createDataFrame([], T.StructType([fields[0], of_vector, T.StructField("score", T.DoubleType()), T.StructField("rnk", T.IntegerType())]))
     return best

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import compounds, legacy, tables
 from docloom.functions.text import lexemes, normalized, sql_bare, sql_norm
-from docloom.operators import inverted, nearest, retrieval
+from docloom.operators import inverted, nearest, quality, retrieval
 from docloom.operators.chunk_store import ChunkStore
 from docloom.plans.catalog import DOCS, POSTINGS, VECTOR, _marked_up, _terms, norm_docs, query
 from docloom.plans.catalog import ORACLE_SQL as SQL
@@ -22,8 +23,7 @@ from docloom.streaming import expiry, lifecycle, sinks, windows
 def _cells(spark, sf, scoped):
     v = load(spark, sf, "embeddings")
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("label").alias("q_label"))
-    rule = F.col("vec_id") != F.col("query_id")
-    return nearest.search(nearest.build(v, fresh_path(spark, "cells")), asked, 50, rule & (F.col("label") == F.col("q_label")) if scoped else rule)
+    return nearest.search(nearest.build(v, fresh_path(spark, "cells")), asked, 50, [("label", "q_label")] if scoped else [], [("vec_id", "query_id")])
 
 
 @query(f"WITH {VECTOR} SELECT query_id, vec_id, score, rnk FROM vt")
@@ -151,3 +151,68 @@ def cache_expiry_stream(spark, sf):
     """Signups and purchases store an answer of their user, other events ask for it: hits, misses and expiries of a day."""
     out = expiry.cache_stream(_cache_rows(windows.table_stream(spark, sf, "events")), TTL)
     return sinks.to_end(out, fresh_path(spark, "expiry"))
+
+
+# --- table functions, old codes, compounds ---------------------------------------------------------------------------
+
+
+@query(SQL["sentences"])
+def sentences_sql(spark, sf):
+    """The rows of sentences from the table function, in SQL."""
+    tables.register(spark)
+    norm_docs(spark, sf).createOrReplaceTempView("docloom_norm")
+    return spark.sql("""
+        WITH s AS (SELECT d.doc_id, x.sent_no, char_length(x.sentence) AS n FROM docloom_norm d, LATERAL sentences_of(d.norm) x)
+        SELECT doc_id, sent_no, CAST((sum(n) OVER (w)) - n AS INT) AS char_start, CAST(sum(n) OVER (w) AS INT) AS char_end FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY sent_no)""")
+
+
+@query(SQL["chunks_fixed_800"])
+def chunk_text_sql(spark, sf):
+    """The rows of chunks_fixed_800 from the table function, in SQL."""
+    tables.register(spark)
+    norm_docs(spark, sf).createOrReplaceTempView("docloom_norm")
+    return spark.sql("SELECT d.doc_id, c.char_start, c.char_end, md5(CAST(c.content AS BINARY)) AS digest FROM docloom_norm d, LATERAL chunk_text(d.norm) c")
+
+
+# letters of other languages stand for Vietnamese ones, so that texts have what the old codes write
+_PLAIN, _MARKED = "aeioudAEIOUD", "ảếịộừđẢẾỊỘỪĐ"
+
+
+def _sql_vni(t: str) -> str:
+    for letter, code in ((c, legacy.TO_VNI[c]) for c in _MARKED):
+        t = f"replace({t}, '{letter}', '{code}')"
+    return t
+
+
+_TCVN = "".join(legacy.TO_TCVN3[c] for c in _MARKED)
+
+
+@query(f"""WITH v AS (SELECT doc_id, translate(coalesce(text, ''), '{_PLAIN}', '{_MARKED}') AS u FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x7e]')),
+    e AS (SELECT doc_id, u, CASE doc_id % 3 WHEN 0 THEN {"translate(u, '" + _MARKED + "', '" + "".join(c for c in _TCVN) + "')"} WHEN 1 THEN {_sql_vni('u')} ELSE u END AS x FROM v),
+    g AS ({quality.SQL_SIGNALS.replace("FROM documents)", "FROM e)").replace(sql_norm(), sql_norm("x"))})
+    SELECT doc_id, legacy_encoding, md5(CASE WHEN legacy_encoding IS NULL THEN {sql_norm("x")} ELSE {sql_norm("u")} END) AS digest FROM e JOIN g USING (doc_id)""")
+def legacy_transcoded(spark, sf):
+    """ASCII documents with Vietnamese letters in TCVN3, VNI and Unicode: what the gate takes for an old code comes back as it was."""
+    ascii_only = ~F.coalesce("text", F.lit("")).rlike("[^\\x00-\\x7e]")
+    u = F.translate(F.coalesce("text", F.lit("")), _PLAIN, _MARKED)
+    code = F.when(F.col("doc_id") % 3 == 0, legacy.to_tcvn3(u)).when(F.col("doc_id") % 3 == 1, legacy.to_vni(u)).otherwise(u)
+    docs = load(spark, sf, "documents").filter(ascii_only).select("doc_id", code.alias("text"))
+    return legacy.transcoded(docs).select("doc_id", "legacy_encoding", F.md5(F.col("norm").cast("binary")).alias("digest"))
+
+
+_WORDS = "list_filter(list_transform(regexp_split_to_array(lower({t}), '[ \\t\\n\\x{{2028}}\\x{{2029}}]+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: w <> '')"
+
+
+@query(f"""WITH RECURSIVE {DOCS}, w AS (SELECT {_WORDS.format(t="t")} AS ws FROM d), p AS (SELECT unnest(ws) AS a, unnest(ws[2:] || [NULL]) AS b FROM w),
+    c AS (SELECT a, b, count(*) AS c FROM p GROUP BY ALL), s AS (SELECT a, sum(c)::HUGEINT AS n FROM c GROUP BY a), n AS (SELECT sum(n) AS n FROM s),
+    lex AS (SELECT * FROM (SELECT c.a, c.b, ((1000::HUGEINT * c.c * n.n) // (x.n * y.n))::BIGINT AS score FROM c JOIN s x ON x.a = c.a JOIN s y ON y.a = c.b, n WHERE c.c >= 5 AND b IS NOT NULL) WHERE score >= 10000),
+    q AS (SELECT item_id AS query_id, {_WORDS.format(t=sql_norm())} AS ws FROM benchmark),
+    z AS (SELECT query_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i, ws FROM q), o AS (SELECT z.query_id, i, x, coalesce(l.score, 0) AS score, len(ws) AS total FROM z LEFT JOIN lex l ON l.a = ws[i - 1] AND l.b = x AND i > 1),
+    walk AS (SELECT query_id, 0 AS i, 0::BIGINT AS one, '' AS path, 0::BIGINT AS two, '' AS before, '' AS last FROM q
+        UNION ALL SELECT o.query_id, o.i::INTEGER, CASE WHEN score > 0 AND two + score > one THEN two + score ELSE one END,
+            CASE WHEN score > 0 AND two + score > one THEN before || ' ' || last || '_' || x ELSE path || ' ' || x END, one, path, x FROM walk JOIN o ON o.query_id = walk.query_id AND o.i = walk.i + 1)
+    SELECT q.query_id, ltrim(path) AS words, CAST(len(regexp_extract_all(path, '_')) AS INTEGER) AS compounds FROM walk JOIN q ON q.query_id = walk.query_id AND walk.i = len(ws)""")
+def compound_words(spark, sf):
+    """The words of questions, with the pairs that documents write as compounds joined by _."""
+    found = compounds.segmented(normalized(load(spark, sf, "benchmark")).withColumnRenamed("item_id", "query_id"), compounds.lexicon(norm_docs(spark, sf)))
+    return found.select("query_id", F.array_join("words", " ").alias("words"), F.size(F.filter("words", lambda w: w.contains("_"))).alias("compounds"))

@@ -24,16 +24,23 @@ def clustered(spark, n=3000, cells=40, dim=16, spread=0.05):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, scope int").repartition(5)
 
 
-def test_cells_give_what_a_full_scan_gives(spark):
+def test_cells_give_what_a_full_scan_gives(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CHUNK", 256)  # cells are cut into chunks
     v = clustered(spark)
     index = nearest.build(v, fresh_path(spark, "t"))
     assert index.rows.sum() == 3000 and index.vectors(spark).count() == 3000
     asked = v.filter("vec_id % 150 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("scope").alias("q_scope"))
     known = v.filter("vec_id < 3000")
-    for n, rule in ((10, None), (10, F.col("vec_id") != F.col("query_id")), (25, F.col("scope") == F.col("q_scope")), (50, F.col("scope") == F.col("q_scope"))):
+    scope, self_ = [("scope", "q_scope")], [("vec_id", "query_id")]
+    for n, same, other in ((10, [], []), (10, [], self_), (25, scope, []), (50, scope, self_)):
         index.reads.clear()
-        got = sorted(map(tuple, nearest.search(index, asked, n, rule).select("query_id", "vec_id", "score", "rnk").collect()))
-        assert got == sorted(map(tuple, retrieval.vector_search(asked, known, n, F.lit(True) if rule is None else rule).collect()))
+        got = sorted(map(tuple, nearest.search(index, asked, n, same, other).select("query_id", "vec_id", "score", "rnk").collect()))
+        rule = F.lit(True)
+        for mine, theirs in same:
+            rule = rule & (F.col(mine) == F.col(theirs))
+        for mine, theirs in other:
+            rule = rule & (F.col(mine) != F.col(theirs))
+        assert got == sorted(map(tuple, retrieval.vector_search(asked, known, n, rule).collect()))
         share = sum(r["pairs"] for r in index.reads) / (3000 * asked.count())
         if n == 10:
             assert share < 0.5, index.reads  # of all pairs of a question and a vector
@@ -43,8 +50,8 @@ def test_thin_scopes_probe_on(spark):
     """A scope with fewer vectors than asked for gives all of them, after every cell was probed."""
     v = clustered(spark, n=1000)
     index = nearest.build(v, fresh_path(spark, "t"), cells=20)
-    asked = v.filter("vec_id in (700, 801)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    got = nearest.search(index, asked, 50, F.col("scope") == 3).groupBy("query_id").count().collect()
+    asked = v.filter("vec_id in (700, 801)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.lit(3).alias("q_scope"))
+    got = nearest.search(index, asked, 50, [("scope", "q_scope")]).groupBy("query_id").count().collect()
     assert {r["count"] for r in got} == {v.filter("scope = 3 and vec_id < 1000").count()}
     again = nearest.opened(spark, index.path)
     assert (again.rows == index.rows).all() and np.allclose(again.centres, index.centres)
