@@ -91,14 +91,16 @@ def phrase_search(terms: DataFrame, index: DataFrame, key: str = "doc_id") -> Da
     return full.select("query_id", key, F.round("score", 6).alias("score"))
 
 
-def cover_density(terms: DataFrame, index: DataFrame, key: str = "doc_id") -> DataFrame:
+def cover_density(terms: DataFrame, index: DataFrame | None, key: str = "doc_id", places: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score) of the documents that hold all parts 0, 1, .. of a query: the sum over its covers.
 
     A cover is a shortest stretch with every part; it counts 0.1, over one more than the words in it that belong to
-    no part. Stretches are found by one fold over the occurrences of a query's parts in a document.
+    no part. Stretches are found by one fold over the occurrences of a query's parts in a document. places: those
+    occurrences, where they are known already.
     """
     need = terms.select("query_id", "part", "length").distinct().groupBy("query_id").agg(F.count("*").alias("parts"), F.sum("length").cast("int").alias("own"))
-    found = occurrences(terms, index, key).groupBy("query_id", key).agg(F.array_sort(F.collect_list(F.struct("at", "part", "length"))).alias("ev"))
+    places = occurrences(terms, index, key) if places is None else places
+    found = places.groupBy("query_id", key).agg(F.array_sort(F.collect_list(F.struct("at", "part", "length"))).alias("ev"))
     found = found.join(need, "query_id").filter(F.size(F.array_distinct(F.transform("ev", lambda e: e["part"]))) == F.col("parts"))
     no = F.lit(None).cast("int")
     start = F.struct(F.array_repeat(F.struct(no.alias("b"), no.alias("e")), F.col("parts").cast("int")).alias("last"), F.array().cast("array<struct<b:int,e:int>>").alias("out"))

@@ -57,7 +57,7 @@ def lexicon_counts(spark, sf):
 def keyword_density_stored(spark, sf):
     """The rows of keyword_density from the buckets of the asked lexemes."""
     terms = _terms(spark, sf)
-    return retrieval.top(retrieval.cover_density(terms, _index(spark, sf).postings(terms)), "query_id", "doc_id")
+    return retrieval.top(retrieval.cover_density(terms, None, places=_index(spark, sf).occurrences(terms)), "query_id", "doc_id")
 
 
 @query(f"""WITH {POSTINGS}, q AS (SELECT item_id, regexp_extract_all(lower({sql_bare(sql_norm())}), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
@@ -68,7 +68,7 @@ def passage_match(spark, sf):
     """Where all words of a question stand next to each other: every word is asked for, whatever their number."""
     words = normalized(load(spark, sf, "benchmark")).select(F.col("item_id").alias("query_id"), F.lit(0).alias("part"), lexemes(F.col("norm")).alias("w"))
     terms = words.select("query_id", "part", F.size("w").alias("length"), F.posexplode("w").alias("ordinal", "lexeme"))
-    found = retrieval.occurrences(terms, _index(spark, sf).postings(terms))
+    found = _index(spark, sf).occurrences(terms)
     return found.groupBy("query_id", "doc_id").agg(F.count("*").alias("occurrences"), F.min("at").cast("int").alias("first_at"))
 
 

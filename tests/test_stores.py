@@ -72,9 +72,11 @@ def words(spark, n=300):
     return spark.createDataFrame(rows, "doc_id long, norm string").repartition(4)
 
 
-def test_index_holds_all_postings(spark):
+def test_index_holds_all_postings(spark, monkeypatch):
     docs, path = words(spark), fresh_path(spark, "t")
-    inverted.build(docs, path, buckets=8, block=1024)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    inverted.build(docs, path, buckets=8)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     index = inverted.Stored(spark, path)
     every = retrieval.postings(docs).select("doc_id", "pos", "lexeme")
     asked = every.select("lexeme").distinct()
@@ -82,6 +84,13 @@ def test_index_holds_all_postings(spark):
     counts = every.groupBy("lexeme").agg(F.countDistinct("doc_id"), F.count("*"))
     assert sorted(map(tuple, index.counts().collect())) == sorted(map(tuple, counts.collect()))
     assert index.blocks().filter("lexeme = 'w1'").count() > 5  # a common word is cut into blocks of documents
+    parts = [(1, 0, "w1 w1 w1"), (1, 1, "w1"), (2, 0, "w3 w4"), (2, 1, "chu"), (3, 0, "w5"), (3, 1, "never"), (4, 0, "nghia w2")]
+    terms = retrieval.phrase_terms(spark.createDataFrame(parts, "query_id long, part int, text string"))
+    full = retrieval.phrase_search(terms, every).select("query_id", "doc_id")
+    want = retrieval.occurrences(terms, every).join(full, ["query_id", "doc_id"]).select("query_id", "part", "length", "doc_id", "at")
+    assert sorted(map(tuple, index.occurrences(terms).collect())) == sorted(map(tuple, want.collect())) and want.count() > 500
+    monkeypatch.setattr(inverted, "AT_ONCE", 3)
+    assert index.occurrences(terms).count() == want.count()
     with pytest.raises(ValueError, match="no index"):
         inverted.Stored(spark, path + "-none")
 
