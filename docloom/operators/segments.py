@@ -193,13 +193,16 @@ def hard_split(text: Column, limit: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def fixed_chunks(df: DataFrame, key: str = "doc_id", col: str = "norm", size: int = 800, overlap: int = 120) -> DataFrame:
+FIXED_SIZE, FIXED_OVERLAP = 800, 120
+
+
+def fixed_chunks(df: DataFrame, key: str = "doc_id", col: str = "norm", size: int = FIXED_SIZE, overlap: int = FIXED_OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """Windows of a fixed size with an overlap: the text is cut once into steps, and a window joins those that it touches."""
     step = size - overlap
     steps = F.regexp_extract_all(F.col(col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     window = lambda i: F.substring(F.array_join(F.slice("_steps", i + 1, F.lit(1 - (-overlap // step))), ""), 1, size)
-    each = df.select(key, steps.alias("_steps")).select(key, F.posexplode(F.transform("_steps", lambda _, i: window(i))).alias("_i", "content"))
-    return each.select(key, (F.col("_i") * step).alias("char_start"), (F.col("_i") * step + F.char_length("content")).alias("char_end"), "content")
+    each = df.select(key, *keep, steps.alias("_steps")).select(key, *keep, F.posexplode(F.transform("_steps", lambda _, i: window(i))).alias("_i", "content"))
+    return each.select(key, *keep, (F.col("_i") * step).alias("char_start"), (F.col("_i") * step + F.char_length("content")).alias("char_end"), "content")
 
 
 def chunk_document(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

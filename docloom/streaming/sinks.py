@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -27,12 +27,14 @@ class EpochSink:
     def _file(self, epoch: int) -> str:
         return f"{self.path}/finished/{epoch:012d}"
 
-    def write(self, batch: DataFrame, epoch: int) -> None:
-        """For foreachBatch."""
+    def write(self, batch: DataFrame, epoch: int, counted: str = "true", keep_empty: bool = True) -> int:
+        """For foreachBatch: the number of rows written for which `counted` holds. Without keep_empty an epoch of no rows is left out."""
         if exists(self.spark, self._file(epoch)):
-            return
-        name = f"epoch-{epoch:012d}-{uuid4().hex}"
-        batch.write.parquet(f"{self.path}/data/{name}")
+            return 0
+        name, watch = f"epoch-{epoch:012d}-{uuid4().hex}", Observation()
+        batch.observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(counted)).alias("counted")).write.parquet(f"{self.path}/data/{name}")
+        if not watch.get["rows"] and not keep_empty:
+            return 0
         jvm = self.spark._jvm
         new, final = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{self.path}/unfinished/{name}", self._file(epoch)))
         fs = final.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -42,6 +44,7 @@ class EpochSink:
         fs.mkdirs(final.getParent())
         if not fs.rename(new, final) and not exists(self.spark, self._file(epoch)):
             raise OSError(f"epoch {epoch} could not be finished at {self.path}")
+        return watch.get["counted"]
 
     def epochs(self) -> DataFrame:
         """epoch, folder of the finished epochs."""

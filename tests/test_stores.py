@@ -155,7 +155,7 @@ def test_store_keeps_other_sources(spark):
     docs = spark.createDataFrame([(i, text(i)) for i in range(60)] + [(98, ""), (99, None)], "doc_id long, norm string")
     store = ChunkStore(spark, fresh_path(spark, "t"))
     assert store.chunks().count() == 0
-    assert store.put(docs) == {"sources": 62, "sections": 60 * 2 + 1}
+    assert store.put(docs) == {"sources": 62, "sections": 60 * 3}
     same_chunks(store, docs)
     assert store.put(docs) == {"sources": 0, "sections": 0} and store.version() == 1
     one = spark.createDataFrame([(5, text(5).replace("End", "Changed"))], "doc_id long, norm string")
