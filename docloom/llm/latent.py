@@ -290,6 +290,22 @@ class LatentIndex:
         mine = slice(*np.searchsorted(self.owner, [item, item + 1]))
         return float((latent @ self.queries[:, mine]).max(initial=0) / max(1e-9, np.linalg.norm(k * self.idf[t])))
 
+    def in_order(self, item: int, region: np.ndarray) -> tuple[float, float, int]:
+        """The best (share of an item in order, share of its answer, first word) over windows of twice the item.
+
+        Windows overlap by three quarters, so that any stretch of one and a half times the item lies in one of them. In longer
+        ones the words of an item come together by chance, however they are shuffled.
+        """
+        n = len(self.items[item])
+        answer = min(n, ANSWER_WORDS)
+        best = (-1.0, 0.0, 0)
+        for a in range(0, max(1, len(region) - 2 * n + -(-n // 2)), -(-n // 2)):
+            window = region[a : a + 2 * n]
+            share = common(n, self.ready.bits[item], window) / n
+            if share > best[0]:
+                best = (share, common(answer, self.ready.answer_bits[item], window) / answer, a)
+        return best
+
     def hits(self, texts: pa.Array) -> list[list[tuple[int | None, int, float, float, float]]]:
         """(item id, first word, cosine, share of the item in order, share of its answer) of what each text leaks."""
         out: list[list[tuple]] = [[] for _ in range(len(texts))]
@@ -315,19 +331,17 @@ class LatentIndex:
                 b = rows[k][2] + WINDOW
                 c, top = max((c, top), (rows[k][3], rows[k][2]), key=lambda x: x[0])
                 k += 1
-            low = max(begins[d], a - n)
+            low = int(max(begins[d], a - n))
             region = ids[low : min(begins[d + 1], b + n)]
             seen[region] = True
             most = np.count_nonzero(seen[self.items[i]])
             seen[region] = False
             if most < WITH_ANSWER * n:  # no order of these words can be enough
                 continue
-            share = common(n, self.ready.bits[i], region) / n
-            answer = min(n, ANSWER_WORDS)
-            told = common(answer, self.ready.answer_bits[i], region) / answer
+            share, told, from_ = self.in_order(i, region)
             if (share >= ALONE or (share >= WITH_ANSWER and told >= 0.5)) and ((d, i) not in best or (share, -a) > best[d, i][0]):
                 c = c or self.near(ids[top : min(top + WINDOW, begins[d + 1])], i)
-                best[d, i] = ((share, -a), (self.ids[i], int(low - begins[d]), c, share, told))
+                best[d, i] = ((share, -a), (self.ids[i], int(low + from_ - begins[d]), c, share, told))
         for d, i in sorted(best):
             out[d].append(best[d, i][1])
         return out

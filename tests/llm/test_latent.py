@@ -154,3 +154,18 @@ def test_passages_find_themselves_at_any_rank(spark, monkeypatch):
         _, item, cos = index.candidates(*terms.of(pa.array([text])))
         low += [i] if not (cos[item == i] > 0.9).any() else []
     assert index.basis.shape[1] <= 100 and low == []
+
+
+def test_words_of_an_item_in_any_order_are_no_leak(spark):
+    """Shuffles of an item, however many, and a long page half of whose words are the item's; a copy among them is found."""
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(4, 9))) for _ in range(3000)]
+    item = rnd.sample(vocabulary, 30)
+    shuffles = lambda k: " ".join(w for _ in range(k) for w in rnd.sample(item, 30))
+    page = lambda: " ".join(rnd.choice(item if rnd.random() < 0.5 else vocabulary) for _ in range(3000))
+    docs = [(k, shuffles(k)) for k in (1, 2, 5, 10, 40)] + [(100 + k, page()) for k in range(5)]
+    docs += [(200, f"{page()} {' '.join(item)} {page()}"), (201, f"{shuffles(10)} {' '.join(item)} {shuffles(10)}")]
+    docs += [(300 + k, " ".join(rnd.choice(vocabulary) for _ in range(100))) for k in range(50)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    index = latent.build(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in latent.find_leaks(docs, index).collect()} == {200, 201}
