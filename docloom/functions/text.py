@@ -22,6 +22,13 @@ BLANKS = SPACE.replace("\\t", "\t").replace("\\n", "\n")
 #: Characters that NFC may change; texts without any skip the Python step. Outside are U+0000-02FF, U+1E00-1EF9,
 #: U+2010-2027 and U+20AC. (A class of what is inside is matched many times faster than one of what is not.)
 UNSTABLE = "[\\u0300-\\u1dff\\u1efa-\\u200f\\u2028-\\u20ab\\u20ad-\\x{10ffff}]"
+#: Of those, the characters that can make NFC change a text: marks, what composes with the character before, and characters
+#: that stand for others. Letters of other scripts are none; what this
+#: Java doesn't know yet may be a mark.
+CHANGEABLE = (
+    "[\\p{M}\\p{Cn}\\u0374\\u037e\\u0387\\u0958-\\u095f\\u09dc-\\u09df\\u0a33-\\u0a5e\\u0b5c\\u0b5d\\u0f43-\\u0fb9\\u1160-\\u11ff\\u1f71-\\u1ffd"
+    "\\u2000\\u2001\\u2126-\\u212b\\u2329\\u232a\\u2adc\\uf900-\\ufaff\\ufb1d-\\ufb4e\\x{1d15e}-\\x{1d1c0}\\x{2f800}-\\x{2fa1f}]"
+)
 
 
 def _vietnamese() -> str:
@@ -58,7 +65,7 @@ def prepared(text: Column) -> Column:
 def normalized(df: DataFrame, col: str = "text", out: str = "norm") -> DataFrame:
     """df with its text in normal form. Only rows with characters that NFC may change go through Python; which these
     are is seen on the raw text, so that each row is prepared once."""
-    odd = F.coalesce(F.col(col).rlike(UNSTABLE), F.lit(False))
+    odd = F.coalesce(F.col(col).rlike(UNSTABLE) & F.col(col).rlike(CHANGEABLE), F.lit(False))
     ready = prepared(F.col(col))
     return df.filter(~odd).withColumn(out, ready).unionByName(df.filter(odd).withColumn(out, nfc(ready)))
 

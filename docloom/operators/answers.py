@@ -67,3 +67,25 @@ def exported(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 def event(kind: str, *columns: str) -> Column:
     """One event of an answer's stream as JSON: its type, then the columns."""
     return F.to_json(F.struct(F.lit(kind).alias("type"), *columns))
+
+
+# The steps of an answer.
+STEPS = ["condensing", "retrieving", "reranking", "generating"]
+
+
+def reply_events(messages: DataFrame, *keys: str) -> DataFrame:
+    """keys, no, event: what a listener hears of each answer, as JSON in the order of no, made in the row of the answer.
+
+    messages: keys, message_id, mode, model, answer_kind, top_score, threshold, latency_ms, citations (an array of structs).
+    It begins with `meta`; an answer that the gate stops doesn't get to its last step and says `no_answer` with the score and
+    the threshold; others say a `citation` for each of theirs, but those from outside the sources never do; `done` ends all.
+    """
+    outside = F.col("answer_kind").isin("external", "cached_external")
+    stopped = F.col("answer_kind") == "no_answer"
+    status = F.transform(F.when(stopped, F.array(*map(F.lit, STEPS[:-1]))).otherwise(F.array(*map(F.lit, STEPS))), lambda s: F.to_json(F.struct(F.lit("status").alias("type"), s.alias("stage"))))
+    citations = F.when(outside | stopped | F.col("citations").isNull(), F.array().cast("array<string>")).otherwise(F.transform("citations", lambda c: F.to_json(F.struct(F.lit("citation").alias("type"), c.alias("c")))))
+    flat = F.transform(citations, lambda x: F.regexp_replace(F.regexp_replace(x, '^\\{"type":"citation","c":\\{', '{"type":"citation",'), "\\}\\}$", "}"))
+    refused = F.when(stopped, F.array(event("no_answer", "top_score", "threshold"))).otherwise(F.array().cast("array<string>"))
+    end = F.to_json(F.struct(F.lit("done").alias("type"), "message_id", "answer_kind", "latency_ms", F.col("model").alias("model_used")))
+    heard = F.concat(F.array(event("meta", "message_id", "mode", "model")), status, flat, refused, F.array(end))
+    return messages.select(*keys, F.posexplode(heard).alias("no", "event"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import BLANKS, SPACE, estimate_tokens
 from docloom.operators.intervals import as_of, overlaps
+from docloom.sources.shared import stored
 
 # Abbreviations whose full stop ends no sentence; ranks of legal headings.
 ABBREVIATIONS = [
@@ -209,15 +210,18 @@ def chunk_document(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame
     """Chunks of assembled documents (key, full_text, pages, blocks), with page_no and bbox.
 
     A chunk belongs to the page on which it begins, 0 without pages; its boxes are those of the blocks that it overlaps, in
-    the order of the text. Pages and boxes are joined as intervals, so a chunk's row holds its own only.
+    the order of the text. Pages and boxes are joined as intervals with the places of chunks, so a chunk's row holds its own
+    only; documents are written once in the shared folder, since all three are read from them.
     """
+    docs, _, _ = stored(docs.select(key, "full_text", "pages", "blocks"), "documents")
     made = chunks(docs, key, "full_text", **options)
+    places, _, _ = stored(made.select(key, "chunk_index", "char_start", "char_end"), "places")
     pages = docs.select(key, F.inline("pages")).select(key, F.col("start").alias("_page_at"), F.col("page").alias("page_no"))
     blocks = docs.select(key, F.inline("blocks")).filter("bbox is not null").select(key, F.col("char_start").alias("_s"), F.col("char_end").alias("_e"), F.col("bbox").alias("_box"))
-    places = made.select(key, "chunk_index", "char_start", "char_end")
     hit = overlaps(places, blocks, key, ("char_start", "char_end"), ("_s", "_e"))
     boxes = hit.groupBy(key, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_s", "_e", "_box"))).alias("_b"))
     boxes = boxes.select(key, "chunk_index", F.transform("_b", lambda b: b["_box"]).alias("bbox"))
     paged = as_of(places.select(key, "chunk_index", "char_start"), pages, key, "char_start", "_page_at", "page_no").select(key, "chunk_index", F.coalesce("page_no", F.lit(0)).alias("page_no"))
-    out = made.join(paged, [key, "chunk_index"]).join(boxes, [key, "chunk_index"], "left")
-    return out.withColumn("bbox", F.coalesce("bbox", F.array().cast(boxes.schema["bbox"].dataType)))
+    kind = boxes.schema["bbox"].dataType
+    found, _, _ = stored(paged.join(boxes, [key, "chunk_index"], "left"), "places-found")
+    return made.join(found, [key, "chunk_index"]).withColumn("bbox", F.coalesce("bbox", F.array().cast(kind)))

@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from docloom.functions import compounds, legacy, tables
 from docloom.functions.text import lexemes, normalized, sql_bare, sql_norm
-from docloom.operators import inverted, nearest, quality, retrieval
+from docloom.operators import answers, evaluation, inverted, nearest, quality, retrieval
 from docloom.operators.chunk_store import ChunkStore
 from docloom.plans.catalog import DOCS, POSTINGS, VECTOR, _marked_up, _terms, norm_docs, query
 from docloom.plans.catalog import ORACLE_SQL as SQL
+from docloom.plans.catalog import QUERIES
 from docloom.plans.hybrid import DENSE
 from docloom.plans.records import _PAGES
 from docloom.sources import extract
 from docloom.sources.shared import fresh_path
-from docloom.sources.tables import load
+from docloom.sources.tables import load, spread
 from docloom.streaming import expiry, lifecycle, sinks, windows
 
 # --- vectors by cell ------------------------------------------------------------------------------------------------
@@ -216,3 +217,47 @@ def compound_words(spark, sf):
     """The words of questions, with the pairs that documents write as compounds joined by _."""
     found = compounds.segmented(normalized(load(spark, sf, "benchmark")).withColumnRenamed("item_id", "query_id"), compounds.lexicon(norm_docs(spark, sf)))
     return found.select("query_id", F.array_join("words", " ").alias("words"), F.size(F.filter("words", lambda w: w.contains("_"))).alias("compounds"))
+
+
+# --- evaluation and totals --------------------------------------------------------------------------------------------
+
+@query()
+def cer_whole(spark, sf):
+    """Errors in characters of whole texts that an engine reads with letters left out and blanks put in."""
+    t = F.coalesce("text", F.lit(""))
+    read = F.replace(F.regexp_replace(t, "ing ", "in "), F.lit(". "), F.lit(".  "))
+    rows = spread(load(spark, sf, "documents")).select("lang", t.alias("a"), read.alias("b"))
+    return evaluation.whole_char_errors(rows, "a", "b", "lang")
+
+
+@query(f"SELECT * FROM ({SQL['tau_sweep']}) ORDER BY coalesce(f1, 0) DESC, cents LIMIT 1")
+def best_tau(spark, sf):
+    """The threshold of tau_sweep with the highest F1."""
+    return evaluation.best_threshold(QUERIES["tau_sweep"](spark, sf))
+
+
+@query(f"""WITH {DOCS}, c AS (SELECT source, CASE WHEN t = '' THEN 0 ELSE len(range(0, length(t), 680)) END AS n, length(t) AS chars FROM d)
+    SELECT source AS notebook, count(*) AS sources, sum(n)::BIGINT AS chunks, sum(chars)::BIGINT AS chars FROM c GROUP BY source""")
+def notebook_totals(spark, sf):
+    """Sources, chunks and characters of each notebook; chunks are counted by length, none is made."""
+    n = F.ceil(F.char_length("norm") / 680).cast("long")
+    return norm_docs(spark, sf, "source").groupBy(F.col("source").alias("notebook")).agg(F.count("*").alias("sources"), F.sum(n).alias("chunks"), F.sum(F.char_length("norm")).alias("chars"))
+
+
+_REPLY = """m AS (SELECT conv_id, turn, md5(conv_id || ':' || turn) AS id, coalesce(text, '') AS t, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS asker FROM conversations QUALIFY role = 'assistant')"""
+
+
+@query(f"""WITH {_REPLY}, k AS (SELECT *, length(t) % 5 = 0 AS blocked FROM m),
+    e AS (SELECT conv_id, turn, [{_json('meta', message_id='id', mode="'privacy'", model="'local'")}]
+        || list_transform(CASE WHEN blocked THEN ['condensing', 'retrieving', 'reranking'] ELSE ['condensing', 'retrieving', 'reranking', 'generating'] END, lambda s: to_json({{'type': 'status', 'stage': s}}))
+        || CASE WHEN blocked THEN [{_json('no_answer', top_score='0.25::DOUBLE', threshold='0.35::DOUBLE')}]
+           ELSE [{_json('citation', marker='1', chunk_id='turn', source_title="'s' || conv_id", snippet='left(t, 40)')}] END
+        || [{_json('done', message_id='id', answer_kind="CASE WHEN blocked THEN 'no_answer' ELSE 'grounded' END", latency_ms='length(t)', model_used="'local'")}] AS ev FROM k)
+    SELECT conv_id, turn, CAST(generate_subscripts(ev, 1) - 1 AS INTEGER) AS no, md5(unnest(ev)::VARCHAR) AS digest FROM e""")
+def reply_events(spark, sf):
+    """What a listener hears of each answer: start, steps, citations or the gate's refusal, end."""
+    c = load(spark, sf, "conversations").filter("role = 'assistant'").withColumn("text", F.coalesce("text", F.lit("")))
+    blocked = F.char_length("text") % 5 == 0
+    cited = F.struct(F.lit(1).alias("marker"), F.col("turn").alias("chunk_id"), F.concat(F.lit("s"), F.col("conv_id")).alias("source_title"), F.substring("text", 1, 40).alias("snippet"))
+    rows = c.select("conv_id", "turn", F.md5(F.concat(F.col("conv_id"), F.lit(":"), F.col("turn")).cast("binary")).alias("message_id"), F.lit("privacy").alias("mode"), F.lit("local").alias("model"), F.when(blocked, "no_answer").otherwise("grounded").alias("answer_kind"), F.when(blocked, 0.25).otherwise(0.9).alias("top_score"), F.lit(0.35).alias("threshold"), F.char_length("text").alias("latency_ms"), F.array(cited).alias("citations"))
+    return answers.reply_events(rows, "conv_id", "turn").select("conv_id", "turn", "no", F.md5(F.col("event").cast("binary")).alias("digest"))

@@ -49,7 +49,8 @@ def assemble(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     Blocks come in reading order (page, rounded top, rounded left, number), normalized; blank ones drop out; each is
     followed by a newline, and a page without text is one newline.
     """
-    clean = normalized(blocks).withColumn("norm", F.btrim("norm", F.lit(" \t\n")))
+    # dealt by document once: windows by page and by document, and groups, then stay where they are
+    clean = normalized(blocks).withColumn("norm", F.btrim("norm", F.lit(" \t\n"))).select(key, "page", "block_no", "bbox", "norm").repartition(key)
     order = [F.round("bbox.y0", 1), F.round("bbox.x0", 1), F.col("block_no")]
     kept = clean.withColumn("_has", F.max((F.col("norm") != "").cast("int")).over(Window.partitionBy(key, "page")))
     kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key, "page").orderBy((F.col("norm") == ""), *order)))

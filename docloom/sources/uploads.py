@@ -19,14 +19,16 @@ def allowed_extensions(text: str) -> list[str]:
 def validated(uploads: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, most: int = MAX_SOURCES, max_bytes: int = MAX_BYTES, max_image: int = MAX_IMAGE_BYTES) -> DataFrame:
     """uploads (upload_id, notebook_id, name, bytes) with error_code, null for those taken.
 
-    Of a notebook's good files the first `most` by upload_id are taken.
+    Of a notebook's good files the first `most` by upload_id, which are unique, are taken: these are found by a limit for
+    each notebook, which Spark keeps before it shuffles, and the others told by a join.
     """
     ext = F.lower(F.regexp_extract("name", "\\.([^./]+)$", 1))
     limit = F.when(ext.isin(*IMAGES), max_image).otherwise(max_bytes)
     first = F.when(~ext.isin(*extensions), "EXTENSION").when(F.col("bytes") > limit, "TOO_LARGE").when(F.col("bytes") == 0, "EMPTY")
     graded = uploads.withColumn("error_code", first)
-    n = F.count_if(F.col("error_code").isNull()).over(Window.partitionBy("notebook_id").orderBy("upload_id"))
-    return graded.withColumn("error_code", F.coalesce("error_code", F.when(n > most, "TOO_MANY")))
+    place = F.row_number().over(Window.partitionBy("notebook_id").orderBy("upload_id"))
+    taken = graded.filter("error_code is null").select("notebook_id", "upload_id").withColumn("_n", place).filter(F.col("_n") <= most).select("upload_id", F.lit(True).alias("_taken"))
+    return graded.join(taken, "upload_id", "left").withColumn("error_code", F.coalesce("error_code", F.when(F.col("_taken").isNull(), "TOO_MANY"))).select(*uploads.columns, "error_code")
 
 
 def page_method(chars: Column, fast_score: Column) -> Column:
