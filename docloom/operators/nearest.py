@@ -136,7 +136,7 @@ def opened(spark: SparkSession, path: str) -> Cells:
 
 
 def _probes(index: Cells, enough: int):
-    """(query_id, qvec, cells, done, seen): the cells that each question probes next; questions that are proven drop out.
+    """(query_id, qvec, cells, done, seen, least): the cells that each question probes next; questions that are proven drop out.
 
     Input: query_id, qvec, least (the score of the n-th result so far, null if there are fewer), done (cells probed), seen
     (vectors in them). A round probes about as many vectors as all before it, `enough` at first.
@@ -163,7 +163,7 @@ def _probes(index: Cells, enough: int):
                     k = min(len(rest), int(np.searchsorted(new, max(enough, seen[i]))) + 1)
                     out.append((i, rest[:k].tolist(), done[i] + k, seen[i] + int(new[k - 1])))
             rows = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int64())], ["query_id", "qvec", "cells", "done", "seen"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int64()), b.column(2).take(rows)], ["query_id", "qvec", "cells", "done", "seen", "least"])
 
     return run
 
@@ -181,7 +181,10 @@ def _raw_scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _scorer(n: int, key: str, col: str, same: list[tuple[str, str]], other: list[tuple[str, str]]):
-    """(query_id, key, raw) of a chunk of vectors and one of questions: the n best of each question, and all as good as these."""
+    """(query_id, key, raw) of a chunk of vectors and one of questions: the n best of each question, and all as good as these.
+
+    What can't be better than a question's n-th result so far (_least) is left out.
+    """
 
     def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -197,6 +200,7 @@ def _scorer(n: int, key: str, col: str, same: list[tuple[str, str]], other: list
                     for mine, theirs in pairs:
                         near[(values(vectors, mine)[None, :] == values(asked, theirs)[some, None]) != equal] = -np.inf
                 least = np.partition(near, -n, axis=1)[:, -n] if len(v) > n else np.full(len(near), -np.inf)
+                least = np.maximum(least, values(asked, "_least")[some])
                 a, b = np.nonzero((near >= least[:, None] - 2 * SLACK) & (near > -np.inf))
                 out.append((a + i, b, _raw_scores(v[b], q[a + i])))
         rows = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -222,7 +226,7 @@ def search(index: Cells, queries: DataFrame, n: int = TOP_N, same: list[tuple[st
     more = sorted({theirs for _, theirs in (*same, *other)} - {"query_id"})
     asked = queries.filter(known).select("query_id", "qvec", *more)
     fields = [T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("qvec", asked.schema["qvec"].dataType)]
-    schema = T.StructType([*fields, T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("done", T.IntegerType()), T.StructField("seen", T.LongType())])
+    schema = T.StructType([*fields, T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("done", T.IntegerType()), T.StructField("seen", T.LongType()), T.StructField("least", T.DoubleType())])
     of_vector = T.StructField(key, index.schema[key].dataType)
     state = asked.select("query_id", "qvec", F.lit(None).cast("double").alias("least"), F.lit(0).alias("done"), F.lit(0).cast("long").alias("seen"))
     vectors, best, old = index.vectors(spark), None, []
@@ -234,7 +238,7 @@ def search(index: Cells, queries: DataFrame, n: int = TOP_N, same: list[tuple[st
         old.append(at)
         if not left:
             break
-        pairs = probes.select("query_id", "qvec", F.explode("cells").alias("cell"))
+        pairs = probes.select("query_id", "qvec", F.coalesce("least", F.lit(-2.0)).alias("_least"), F.explode("cells").alias("cell"))
         counts = dict(pairs.groupBy("cell").count().collect())
         index.reads.append({"vectors": int(sum(index.rows[c] for c in counts)), "pairs": int(sum(index.rows[c] * k for c, k in counts.items()))})
         parts = [(int(c), int(-(-index.rows[c] // CHUNK)), int(-(-k // CHUNK))) for c, k in counts.items()]  # a row a cell
