@@ -1,7 +1,7 @@
 """A stored inverted index: lexemes in buckets on disk, positions in delta-coded blocks, document counts beside them.
 
 A search reads the buckets of the lexemes that it asks for, and of these only the blocks of those lexemes. A block holds a
-lexeme's postings in one segment, the documents of one batch of a task; so the lists of a segment's documents meet in one
+lexeme's postings in one segment, documents that a task reads one after the other; so the lists of a segment's documents meet in one
 task, where phrases are found by intersection, and no posting becomes a row.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from docloom.functions.text import lexemes as lexemes_of
 from docloom.sources.shared import exists
 
-#: Buckets of lexemes; terms of questions that are looked up at once.
-BUCKETS, AT_ONCE = 64, 100_000
+#: Buckets of lexemes; documents of a segment at most; terms of questions that are looked up at once.
+BUCKETS, SEGMENT, AT_ONCE = 64, 2048, 100_000
 ROW = "lexeme string, segment long, doc_steps array<long>, pos_steps array<int>, docs int"
 
 
@@ -33,7 +33,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     segment = TaskContext.get().partitionId() << 32
-    for b in batches:
+    for b in (whole.slice(i, SEGMENT) for whole in batches for i in range(0, whole.num_rows, SEGMENT)):
         words = b.column(1)
         sizes = words.value_lengths().to_numpy()
         coded = words.flatten().dictionary_encode()

@@ -13,7 +13,7 @@ from docloom.plans.catalog import ORACLE_SQL as SQL
 from docloom.plans.catalog import QUERIES
 from docloom.plans.hybrid import DENSE
 from docloom.plans.records import _PAGES
-from docloom.sources import extract
+from docloom.sources import extract, registry
 from docloom.sources.shared import fresh_path
 from docloom.sources.tables import load, spread
 from docloom.streaming import expiry, lifecycle, sinks, windows
@@ -261,3 +261,42 @@ def reply_events(spark, sf):
     cited = F.struct(F.lit(1).alias("marker"), F.col("turn").alias("chunk_id"), F.concat(F.lit("s"), F.col("conv_id")).alias("source_title"), F.substring("text", 1, 40).alias("snippet"))
     rows = c.select("conv_id", "turn", F.md5(F.concat(F.col("conv_id"), F.lit(":"), F.col("turn")).cast("binary")).alias("message_id"), F.lit("privacy").alias("mode"), F.lit("local").alias("model"), F.when(blocked, "no_answer").otherwise("grounded").alias("answer_kind"), F.when(blocked, 0.25).otherwise(0.9).alias("top_score"), F.lit(0.35).alias("threshold"), F.char_length("text").alias("latency_ms"), F.array(cited).alias("citations"))
     return answers.reply_events(rows, "conv_id", "turn").select("conv_id", "turn", "no", F.md5(F.col("event").cast("binary")).alias("digest"))
+
+
+# --- sources ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DOCS}, k AS (SELECT doc_id, t, ['txt', 'md', 'paste', 'json', 'exe'][doc_id % 5 + 1] AS kind FROM d)
+    SELECT doc_id, kind, CASE kind WHEN 'exe' THEN NULL WHEN 'json' THEN 'blocks' ELSE 'plain:utf-8-sig' END AS method, md5(CASE WHEN kind = 'exe' THEN '' ELSE t END) AS digest,
+        CASE WHEN kind = 'exe' THEN 'KIND_UNSUPPORTED' WHEN trim(regexp_replace(t, '\\s+', ' ', 'g')) = '' THEN 'TEXT_EMPTY' END AS error_code FROM k""")
+def source_kinds(spark, sf):
+    """Documents as files of five kinds, read through the registry; the JSON ones are lists of their lines."""
+    kind = F.get(F.array(*map(F.lit, ["txt", "md", "paste", "JSON", "exe"])), (F.col("doc_id") % 5).cast("int"))
+    t = F.coalesce("text", F.lit(""))
+    lines = F.to_json(F.transform(F.split(t, "\n"), lambda x: F.struct(F.lit(1).alias("page"), x.alias("text"))))
+    files = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), kind.alias("kind"), F.encode(F.when(kind == "JSON", lines).otherwise(t), "UTF-8").alias("content"))
+    return registry.documents(files).select(F.col("path").cast("long").alias("doc_id"), "kind", "method", F.md5(F.col("norm").cast("binary")).alias("digest"), "error_code")
+
+
+_STYLES = ["Heading 2", "Normal", "Title", "List Bullet", "Tiêu đề chính", "đầu đề 12", "heading", "Subtitle", "Danh sách 2", "Tiêu đề 3"]
+_PREFIX = ["## ", "", "# ", "- ", "# ", "###### ", "# ", "", "- ", "### "]
+
+
+@query(f"""WITH {DOCS}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i FROM d)
+    SELECT doc_id, CAST(i AS INTEGER) AS no, md5({_PREFIX}[i % 10 + 1] || x) AS digest FROM l""")
+def styled_lines(spark, sf):
+    """Lines as paragraphs of ten styles, in Markdown."""
+    lines = norm_docs(spark, sf).select("doc_id", F.posexplode(F.split("norm", "\n")).alias("no", "x"))
+    style = F.get(F.array(*map(F.lit, _STYLES)), (F.col("no") % 10).cast("int"))
+    return lines.select("doc_id", "no", F.md5(extract.styled(style, F.col("x")).cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {DOCS}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i FROM d),
+    r AS (SELECT doc_id, i // 4 AS table_no, i, list_transform(string_split(x, ' ')[1:3], lambda c: trim(c)) AS cells FROM l),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, table_no ORDER BY i) AS k FROM r WHERE len(list_filter(cells, lambda c: c <> '')) > 0)
+    SELECT doc_id, CAST(table_no AS INTEGER) AS table_no, md5(string_agg('| ' || array_to_string(cells, ' | ') || ' |' || CASE WHEN k = 1 THEN chr(10) || '|' || repeat(' --- |', len(cells)) ELSE '' END, chr(10) ORDER BY i)) AS digest FROM n GROUP BY doc_id, table_no""")
+def markdown_tables(spark, sf):
+    """Four lines are a table, the first words of each its cells."""
+    lines = norm_docs(spark, sf).select("doc_id", F.posexplode(F.split("norm", "\n")).alias("row_no", "x"))
+    rows = lines.select("doc_id", F.floor(F.col("row_no") / 4).cast("int").alias("table_no"), "row_no", F.slice(F.split("x", " "), 1, 3).alias("cells"))
+    return extract.table_markdown(rows).select("doc_id", "table_no", F.md5(F.col("text").cast("binary")).alias("digest"))

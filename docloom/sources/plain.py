@@ -32,7 +32,7 @@ def decode_bytes(files: DataFrame, key: str = "path", col: str = "content") -> D
     """files with text, encoding and error_code. UTF-8 stays in the JVM; other bytes take the legacy encoding whose
     text the quality gate scores best, the first of equals."""
     utf8 = F.expr(f"is_valid_utf8({col})")
-    plain = files.filter(utf8).withColumns({"text": F.regexp_replace(F.decode(col, "UTF-8"), "^﻿", ""), "encoding": F.lit("utf-8-sig")})
+    plain = files.filter(utf8).withColumns({"text": F.regexp_replace(F.when(utf8, F.decode(col, "UTF-8")), "^﻿", ""), "encoding": F.lit("utf-8-sig")})
     tries = files.filter(~utf8).select("*", F.posexplode(_decoded(F.col(col))).alias("_rank", "text")).filter("text is not null")
     graded = quality.assess(tries.withColumn("_text", F.col("text")), key, "text", keep=("_rank", "_text", *[c for c in files.columns if c != key]))
     best = graded.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "_rank"))).filter("_n = 1")

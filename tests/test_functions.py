@@ -158,3 +158,20 @@ def test_best_threshold_and_reply_events(spark):
     assert kinds(1) == ["meta", *["status"] * 4, "citation", "citation", "done"] and heard[1][5] == {"type": "citation", "marker": 1, "chunk_id": 7}
     assert kinds(2) == ["meta", *["status"] * 3, "no_answer", "done"] and heard[2][4] == {"type": "no_answer", "top_score": 0.2, "threshold": 0.35}
     assert kinds(3) == ["meta", *["status"] * 4, "done"] and heard[3][-1] == {"type": "done", "message_id": "m3", "answer_kind": "external", "latency_ms": 7, "model_used": "q"}
+
+
+def test_readers_by_kind(spark, tmp_path):
+    from docloom.sources import registry
+
+    good = json.dumps([{"page": 1, "text": "một"}, {"page": 2, "text": None, "bbox": {"page": 2, "x0": 1.5}}, {"page": 2, "text": "hai"}])
+    for name, raw in {"a.TXT": "xin chào".encode(), "b.md": b" \n", "c.json": good.encode(), "d.json": b"{not json", "e.json": b"[]", "f.bin": b"\x00\xff", "noext": b"x"}.items():
+        (tmp_path / name).write_bytes(raw)
+    pasted = registry.pasted(spark.createDataFrame([(1, "dán"), (2, None)], "source_id long, text string"))
+    got = {r.path.rpartition("/")[2]: r for r in registry.documents(registry.folder(spark, str(tmp_path)).unionByName(pasted)).collect()}
+    assert len(got) == 9 and got["a.TXT"].norm == "xin chào" and got["a.TXT"].error_code is None and got["a.TXT"].kind == "txt"
+    assert got["c.json"].norm == "một\n\nhai" and got["c.json"].blocks[1].bbox.x0 == 1.5 and got["paste:1"].norm == "dán"
+    codes = {k: got[k].error_code for k in ("b.md", "d.json", "e.json", "f.bin", "noext", "paste:2")}
+    assert codes == {"b.md": "TEXT_EMPTY", "d.json": "BLOCKS_INVALID", "e.json": "TEXT_EMPTY", "f.bin": "KIND_UNSUPPORTED", "noext": "KIND_UNSUPPORTED", "paste:2": "TEXT_EMPTY"}
+    registry.reader("bin")(lambda files: registry._failed(files, "OWN"))
+    assert registry.documents(registry.folder(spark, str(tmp_path)).filter("kind = 'bin'")).first().error_code == "OWN"
+    del registry.READERS["bin"]
