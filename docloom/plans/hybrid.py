@@ -13,6 +13,7 @@ from docloom.functions.text import lexemes, normalized
 from docloom.operators import evaluation, retrieval
 from docloom.operators.tenancy import ratio
 from docloom.plans.catalog import COSINE, LEXEMES, PHRASES, VECTOR, _judged, _terms, norm_docs, query
+from docloom.sources.shared import stored
 from docloom.sources.tables import load
 
 DENSE = f"""{PHRASES},
@@ -45,14 +46,23 @@ def _fused(spark, sf) -> DataFrame:
     return retrieval.fuse([_keyword_branch(spark, sf), _vector_branch(spark, sf)], "doc_id")
 
 
-def _reranked(spark, sf, fused: DataFrame) -> DataFrame:
+def _reranked(spark, sf, fused: DataFrame, *before: str) -> DataFrame:
+    """The fused candidates by their words; the reranker sees a document with the columns of `before` in front of it."""
     asked = normalized(load(spark, sf, "benchmark")).select(F.col("item_id").alias("query_id"), lexemes(F.col("norm")).alias("asked"))
-    texts = load(spark, sf, "documents").select("doc_id", "text").join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
-    held = normalized(texts).select("doc_id", lexemes(F.col("norm")).alias("held"))
+    texts = load(spark, sf, "documents").select("doc_id", "text", *before).join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = lexemes(F.col("norm"))
+    held = normalized(texts).select("doc_id", (F.concat(lexemes(F.concat_ws(" ", *before)), own) if before else own).alias("held"))
     both = fused.join(asked, "query_id").join(held, "doc_id")
     return retrieval.rerank(both.select("query_id", "doc_id", "asked", "held"), retrieval.lexical_logit(F.col("asked"), F.col("held")), "doc_id").select("query_id", "doc_id", "score", "rnk")
 
 
+def _steps(spark, sf) -> dict[str, DataFrame]:
+    """The candidates after each step, each worked out once and written: a plan that uses them often doesn't grow."""
+    keyword, vector = (stored(b, "branch")[0] for b in (_keyword_branch(spark, sf), _vector_branch(spark, sf)))
+    fused = stored(retrieval.fuse([keyword, vector], "doc_id"), "fused")[0]
+    return {"keyword": keyword, "vector": vector, "fused": fused, "reranked": stored(_reranked(spark, sf, fused), "reranked")[0]}
+
+
 @query(f"WITH {DENSE} SELECT query_id, doc_id, score, rnk FROM kb")
 def keyword_density(spark, sf):
     return _keyword_branch(spark, sf)
@@ -78,9 +88,7 @@ def hybrid_gate(spark, sf):
     UNION ALL SELECT query_id, doc_id, 'fused', score, rnk FROM fb UNION ALL SELECT query_id, doc_id, 'reranked', score, rnk FROM rb""")
 def query_trace(spark, sf):
     """Every candidate of every question with its place after each step."""
-    keyword, vector = _keyword_branch(spark, sf), _vector_branch(spark, sf)
-    fused = retrieval.fuse([keyword, vector], "doc_id")
-    steps = {"keyword": keyword, "vector": vector, "fused": fused, "reranked": _reranked(spark, sf, fused)}
+    steps = _steps(spark, sf)
     rows = [r.select("query_id", "doc_id", F.lit(k).alias("step"), "score", "rnk") for k, r in steps.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
@@ -138,11 +146,9 @@ def refusal_rates(spark, sf):
         SELECT config, query_id, avg(CAST(relevant AS INTEGER)) AS p, sum(CAST(relevant AS INTEGER)) / max(total)::DOUBLE AS r FROM g JOIN embeddings q ON q.vec_id = query_id JOIN n ON n.label = q.label WHERE rnk <= 10 GROUP BY ALL) GROUP BY config""")
 def hybrid_ablation(spark, sf):
     """Configurations: vector alone, keywords alone, both, with reranking, with prefixed contents, with a checked top."""
-    keyword, vector = _keyword_branch(spark, sf), _vector_branch(spark, sf)
-    fused = retrieval.fuse([keyword, vector], "doc_id")
-    plain = _reranked(spark, sf, fused)
+    keyword, vector, fused, plain = _steps(spark, sf).values()
     sure = retrieval.gate(plain).filter("answer_kind = 'grounded'").select("query_id")
-    ranked = {"A": vector, "B": keyword, "C": fused, "D": plain, "E": _prefixed(spark, sf, fused), "F": plain.join(sure, "query_id", "left_semi")}
+    ranked = {"A": vector, "B": keyword, "C": fused, "D": plain, "E": _reranked(spark, sf, fused, "source", "lang"), "F": plain.join(sure, "query_id", "left_semi")}
     rows = [r.select(F.lit(k).alias("config"), "query_id", "doc_id", "rnk") for k, r in ranked.items()]
     every = rows[0]
     for r in rows[1:]:
@@ -156,15 +162,6 @@ def hybrid_ablation(spark, sf):
     return each.groupBy("config").agg(F.countDistinct("query_id").alias("questions"), F.round(F.avg("p"), 6).alias("precision_at_10"), F.round(F.avg("r"), 6).alias("recall_at_10"))
 
 
-def _prefixed(spark, sf, fused: DataFrame) -> DataFrame:
-    """Reranking that sees a document with its source and language before it."""
-    asked = normalized(load(spark, sf, "benchmark")).select(F.col("item_id").alias("query_id"), lexemes(F.col("norm")).alias("asked"))
-    texts = load(spark, sf, "documents").select("doc_id", "text", "source", "lang").join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
-    held = normalized(texts).select("doc_id", F.concat(lexemes(F.concat_ws(" ", "source", "lang")), lexemes(F.col("norm"))).alias("held"))
-    both = fused.join(asked, "query_id").join(held, "doc_id")
-    return retrieval.rerank(both.select("query_id", "doc_id", "asked", "held"), retrieval.lexical_logit(F.col("asked"), F.col("held")), "doc_id").select("query_id", "doc_id", "score", "rnk")
-
-
 @query(f"""WITH v AS (SELECT vec_id, label, embedding FROM embeddings), m AS (SELECT 'whole' AS model, vec_id, label, embedding FROM v UNION ALL SELECT 'half', vec_id, label, embedding[1:32] FROM v),
     s AS (SELECT v.model, q.vec_id AS query_id, v.vec_id, {COSINE} AS score, v.label = q.label AS relevant FROM m v JOIN m q ON v.model = q.model AND q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
     t AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, vec_id) AS rnk FROM s QUALIFY rnk <= 10)
