@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,7 @@ class Restorer:
         """What each place of the token may stand for, with the channel's costs; a space is a gap between words."""
         i, n = 0, len(token)
         spaced = SPACED.fullmatch(token) is not None
+        letters = [k for k in (next((k for k in r if token[k].isalpha()), None) for r in (range(n), range(n - 1, -1, -1))) if k is not None]
         while i < n:
             c, j = token[i], i + 1
             while j < n and token[j] == c:
@@ -99,7 +101,7 @@ class Restorer:
                 else:
                     yield from ([(c, 0.0)],) * (j - i)
             else:
-                inside = any(x.isalpha() for x in token[:i]) and any(x.isalpha() for x in token[j:])
+                inside = bool(letters) and letters[0] < i and letters[-1] >= j
                 for _ in range(j - i):
                     looks = [(x, 1.0 + math.log(len(LOOKS[c]))) for x in LOOKS.get(c, "")]
                     gap = [("", 0.2), (" ", 3.0)] if spaced and c in ".-_*~ " else [("", (9.0 if inside else 4.0) if looks else 1.0)]
@@ -107,9 +109,16 @@ class Restorer:
             i = j
 
     def decode(self, token: str) -> str:
-        """The likeliest reading: Viterbi over the last two characters."""
-        cost, best = self.cost, {(0, 0): (0.0, "")}
-        for options in self.units(token):
+        """The likeliest reading: Viterbi over the last two characters.
+
+        What all readings begin with is set aside now and then, so that a token costs its length, however long it is.
+        """
+        cost, best, read = self.cost, {(0, 0): (0.0, "")}, []
+        for step, options in enumerate(self.units(token)):
+            if step % 64 == 63:
+                k = len(commonprefix([text for _, text in best.values()]))
+                read.append(next(iter(best.values()))[1][:k])
+                best = {state: (total, text[k:]) for state, (total, text) in best.items()}
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (total, text) in best.items():
                 for x, extra in options:
@@ -121,7 +130,7 @@ class Restorer:
                     if state not in after or value < after[state]:
                         after[state] = value
             best = after
-        return min((total + cost[a][b][0], text) for (a, b), (total, text) in best.items())[1]
+        return "".join(read) + min((total + cost[a][b][0], text) for (a, b), (total, text) in best.items())[1]
 
     def words(self, token: str) -> list[str]:
         """The words of one lower-case token (or of a run of single letters, joined by spaces)."""
