@@ -103,10 +103,14 @@ class IndexReader:
         n = struct.unpack("<Q", tail[:8])[0]
         self.directory = json.loads(zlib.decompress(self.file.read_at(n, size - 16 - n)))
         self.firsts = [d[0] for d in self.directory]
+        self.held: tuple[int, list[tuple[str, dict]]] = (-1, [])
 
     def block(self, k: int) -> list[tuple[str, dict]]:
-        _, at, n = self.directory[k]
-        return [json.loads(line) for line in zlib.decompress(self.file.read_at(n, at)).decode().split("\n")]
+        """The lines of a block; the last one read is held, since keys are mostly asked for in order."""
+        if self.held[0] != k:
+            _, at, n = self.directory[k]
+            self.held = (k, [json.loads(line) for line in zlib.decompress(self.file.read_at(n, at)).decode().split("\n")])
+        return self.held[1]
 
     def entries(self) -> Iterator[tuple[str, dict]]:
         for k in range(len(self.directory)):
@@ -117,8 +121,8 @@ class IndexReader:
         out, k = [], max(0, bisect_left(self.firsts, key) - 1)
         while k < len(self.firsts) and self.firsts[k] <= key:
             lines = self.block(k)
-            keys = [x[0] for x in lines]
-            out += [e for _, e in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
+            of = lambda x: x[0]
+            out += [e for _, e in lines[bisect_left(lines, key, key=of) : bisect_right(lines, key, key=of)]]
             k += 1
         return out
 
@@ -192,12 +196,8 @@ def read_archives(table: DataFrame) -> DataFrame:
     return table.select("warc", "cdx").repartition(max(1, table.count()), "warc").mapInArrow(run, OUT)
 
 
-def lookup(table: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The captures of each row of urls: url, then the columns of read_archives and the payload as text.
-
-    Urls without a capture give no row; repeated urls give repeated rows. The table of files, one small row a file,
-    is what tasks bisect first (a table of more than MOST_FILES files is refused); each index file is opened once.
-    """
+def _placed(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (url, key) with warc and cdx of each file that may hold the key, the rows of a file in the order of keys."""
     spans = sorted((r.first, r.last, r.warc, r.cdx) for r in table.select("first", "last", "warc", "cdx").limit(MOST_FILES + 1).collect())
     if len(spans) > MOST_FILES:
         raise ValueError(f"more than {MOST_FILES} files")
@@ -213,6 +213,43 @@ def lookup(table: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame
                     k -= 1
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(4)], ["url", "key", "warc", "cdx"])
 
+    placed = asked.mapInArrow(place, "url string, key string, warc string, cdx string")
+    return placed.repartition("warc").sortWithinPartitions("warc", "key")
+
+
+def read_by_key(table: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """The rows of read_archives for all captures of the addresses of pages, each found by its key.
+
+    Each different key is looked up once: the table of files is bisected, then the directory of blocks of its index, then
+    the block; only the byte ranges of its captures are read. A key of many captures is as many tasks' work as it has files.
+    """
+    columns = [c.split()[0] for c in OUT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: tuple = (None, None, None)
+        for b in batches:
+            found = []
+            for key, warc, cdx in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if opened[0] != warc:
+                    opened = (warc, files.open_range(warc), IndexReader(cdx))
+                for e in opened[2].find(key):
+                    found.append(parse_record(zlib.decompress(opened[1].read_at(e["length"], e["offset"]), 31)) | {"payload": None})
+                    if len(found) == 4096:
+                        yield _rows(found, columns)
+                        found = []
+            yield _rows(found, columns)
+
+    keys = pages.select(url_key(F.col(url_col).cast("string")).alias("key")).distinct()
+    return _placed(table, keys.select(F.lit(None).cast("string").alias("url"), "key")).mapInArrow(run, OUT)
+
+
+def lookup(table: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """The captures of each row of urls: url, then the columns of read_archives and the payload as text.
+
+    Urls without a capture give no row; repeated urls give repeated rows. The table of files, one small row a file,
+    is what tasks bisect first (a table of more than MOST_FILES files is refused); each index file is opened once.
+    """
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: tuple = (None, None, None)
         for b in batches:
@@ -226,12 +263,12 @@ def lookup(table: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame
             yield _rows(found, ["url", *[c.split()[0] for c in OUT.split(", ")], "payload"])
 
     asked = urls.select(F.col(url_col).cast("string").alias("url"), url_key(F.col(url_col)).alias("key"))
-    placed = asked.mapInArrow(place, "url string, key string, warc string, cdx string")
-    return placed.repartition("warc").sortWithinPartitions("warc", "key").mapInArrow(fetch, f"url string, {OUT}, payload string")
+    return _placed(table, asked).mapInArrow(fetch, f"url string, {OUT}, payload string")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archives(write_archives(read(spark, sf_dir, "pages")))
+    pages = read(spark, sf_dir, "pages")
+    return read_by_key(write_archives(pages), pages)
 
 
 QUERIES = {"op8_warc": op8_warc}

@@ -27,6 +27,8 @@ def test_archives_match_brute_force(spark):
     df, rows = pages(spark)
     table = warc.write_archives(df, lines=16)
     assert sorted((tuple(r) for r in warc.read_archives(table).collect()), key=str) == plain(rows)
+    assert sorted((tuple(r) for r in warc.read_by_key(table, df).collect()), key=str) == plain(rows)
+    assert warc.read_by_key(warc.write_archives(df.limit(0)), df).count() == 0
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
@@ -56,3 +58,13 @@ def test_archive_is_plain_warc(spark):
             head = record.partition(b"\r\n\r\n")[0].decode().split("\r\n")
             types += any(h.startswith("WARC-Type: ") for h in head) and any(h.startswith("Content-Length: ") for h in head)
     assert types == len(rows)
+
+
+def test_a_key_of_a_third_of_all_captures(spark):
+    """One address in many blocks and files: each capture comes back once, whatever file it lies in."""
+    rows = [(i, "http://hot.example/" if i % 3 == 0 else f"http://h{i % 50}.example/{i}", f"<p>{i}</p>") for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    table = warc.write_archives(df, lines=7)
+    got = warc.read_by_key(table, df).collect()
+    assert sorted(r.page_id for r in got) == list(range(900))
+    assert sorted(r.page_id for r in warc.read_by_key(table, df.filter("page_id < 2")).collect()) == sorted([1, *range(0, 900, 3)])
