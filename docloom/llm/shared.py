@@ -149,12 +149,20 @@ def appended(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
 
 
+def known_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, label) of every id that has one label, 0 or 1, and isn't held out.
+
+    Null ids and labels, and ids with both labels, are left out.
+    """
+    kept = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    return kept.filter(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
+
+
 def labelled_sample(labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, label) of at most per_class ids of each class, those with the least hashes; held-out ids never.
 
     At most 2 * per_class rows, so it may be broadcast. Null ids and labels, and ids with both labels, are left out.
     """
-    kept = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
-    kept = kept.filter(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
+    kept = known_labels(labels, label, id_col)
     one = [kept.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     return one[0].unionAll(one[1])
