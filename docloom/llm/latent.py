@@ -1,8 +1,8 @@
 """Benchmark decontamination: latent semantic retrieval of benchmark passages, then word-order and answer checks.
 
-Passages are TF-IDF vectors. A distributed randomised SVD of the benchmark's passages, with a bounded sample of the
-corpus's, spans the latent space over the benchmark's vocabulary. Every window of every document is compared with
-every passage of the benchmark by cosine there. Beside that, runs of GRAM words that a document shares with an item
+Passages are TF-IDF vectors, whose counts cover the whole corpus. A distributed randomised SVD of all passages of the
+benchmark spans the latent space over its vocabulary. Every window of every document is compared with every passage
+of the benchmark by cosine there. Beside that, runs of GRAM words that a document shares with an item
 make it a candidate whatever its words weigh, so a passage that many documents hold is found however common that
 makes its words. Candidates are confirmed by the longest common subsequence of words and by the item's closing words,
 its answer. Arrow cuts a batch of texts into words and numbers them.
@@ -32,12 +32,10 @@ GRAM, LEAST_WEIGHT = 5, 0.05
 ODDS = np.random.default_rng(7).integers(1 << 62, 1 << 63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The same for the bytes of a word.
 SPOTS = np.random.default_rng(8).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bounds: benchmark items, sampled corpus passages that join the SVD; buckets of words outside the benchmark.
-MOST_ITEMS, SAMPLE, BUCKETS = 20_000, 1024, 1 << 16
-#: The SVD's rank follows the benchmark's passages beyond RANK, while a block (terms x rank) has at most CELLS numbers.
-RANK, SPARE, CELLS = 512, 128, 1 << 23
-#: Weight of a benchmark passage in the SVD beside a corpus passage; share of the SVD's hold on it that each one keeps.
-WEIGHT, KEPT = 3.0, 0.95
+#: Bound of benchmark items; buckets of words outside the benchmark.
+MOST_ITEMS, BUCKETS = 20_000, 1 << 16
+#: The SVD's rank is the number of the benchmark's passages; beyond RANK, while a block (terms x rank) has at most CELLS numbers.
+RANK, CELLS = 512, 1 << 23
 EDGE = ".,;:!?*%&#|\"'`´()[]{}<>«»“”‘’…~^=/\\_-$@+"
 
 
@@ -350,8 +348,9 @@ class LatentIndex:
 def build(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", cosine: float = COSINE) -> LatentIndex:
     """The index of a benchmark of at most MOST_ITEMS items; more are refused. Items without words are left out.
 
-    Term counts cover all documents. The SVD sees all benchmark passages and SAMPLE passages of the documents with the
-    least hashes; every window is compared all the same.
+    Term counts cover all documents. The SVD sees all benchmark passages and nothing else: they are all that windows are
+    compared with, so what a window holds beside their span adds to no product. Up to the rank's bound the cosines are
+    those of the whole TF-IDF vectors.
     """
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
@@ -373,33 +372,17 @@ def build(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
                 owner.append(i)
                 vectors.append((t, k * idf[t] / size))
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(vocabulary)
-        for b in batches:
-            ids, values = [], []
-            for row in grid(*terms.of(b.column(0)), WINDOW, len(idf))[0]:
-                t, k = np.unique(row[row < len(idf)], return_counts=True)
-                v = k * idf[t] / max(np.linalg.norm(k * idf[t]), 1e-9)
-                ids.append(t[t < n].tolist())
-                values.append(v[t < n].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["ids", "values"])
-
     spark = docs.sparkSession
-    shape = "ids array<int>, values array<double>"
-    few = docs.select(F.col(text_col).cast("string").alias("text")).orderBy(F.xxhash64("text")).limit(SAMPLE // 8)
-    ours = spark.createDataFrame([([int(x) for x in t], [float(WEIGHT * x) for x in v]) for t, v in vectors], shape)
-    matrix = written(few.mapInArrow(sampled, shape).limit(SAMPLE).unionByName(ours).repartition(4), "passages")
-    rank = max(1, min(n, len(vectors) + SAMPLE, max(RANK, min(len(vectors) + SPARE, CELLS // n))))
+    matrix = written(spark.createDataFrame([([int(x) for x in t], [float(x) for x in v]) for t, v in vectors], "ids array<int>, values array<double>").repartition(4), "passages")
+    rank = max(1, min(n, len(vectors), max(RANK, CELLS // n)))
     _, right = svd(matrix, n, rank)
     discard(matrix)
     latent = np.stack([v @ right[t] for t, v in vectors])
-    kept = np.cumsum(latent**2, axis=1)
-    k = min(rank, int(np.argmax((kept >= KEPT * kept[:, -1:]).all(axis=0))) + 1)
-    basis = (idf[:n, None] * right[:, :k]).astype(np.float32)
+    basis = (idf[:n, None] * right).astype(np.float32)
     found = [(h, i) for i, ids in enumerate(coded) for h in np.unique(runs(ids, n, min(GRAM, len(ids)))[1]).tolist()]
     grams, whose = np.array([h for h, _ in found], np.uint64), np.array([i for _, i in found], np.int64)
     order = np.argsort(grams, kind="stable")
-    whole = latent[:, :k] / np.maximum(kept[:, k - 1 : k], 1e-9)  # a copy has cosine 1, whatever the rank keeps of it
+    whole = latent / np.maximum((latent**2).sum(axis=1, keepdims=True), 1e-9)  # a copy has cosine 1, whatever the rank keeps of it
     queries = np.ascontiguousarray(whole.T).astype(np.float32)
     return LatentIndex([i for i, _ in items], coded, vocabulary, idf, basis, queries, np.array(owner), cosine, grams[order], whose[order], tuple(sorted({min(GRAM, len(x)) for x in coded})))
 

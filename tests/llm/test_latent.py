@@ -169,3 +169,27 @@ def test_words_of_an_item_in_any_order_are_no_leak(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     index = latent.build(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
     assert {r.doc_id for r in latent.find_leaks(docs, index).collect()} == {200, 201}
+
+
+def test_cosines_are_those_of_whole_vectors(spark, monkeypatch):
+    """Up to the rank's bound nothing of a passage is lost, whatever the corpus holds: candidates are those of plain TF-IDF."""
+    docs, benchmark, _ = build_case(spark)
+    svd, rows = latent.svd, []
+    monkeypatch.setattr(latent, "svd", lambda matrix, *shape: rows.append(matrix.count()) or svd(matrix, *shape))
+    index = latent.build(docs, benchmark)
+    ids, begins = latent.Terms(index.vocabulary).of(pa.array([r.text for r in docs.collect()]))
+    passages = [(i, x[a : a + latent.WINDOW]) for i, x in enumerate(index.items) for a in latent.passage_starts(len(x))]
+    assert rows == [len(passages)]  # no sample of the corpus turns the space
+    weights = np.zeros((len(passages), len(index.idf)))
+    for row, (_, x) in zip(weights, passages, strict=True):
+        t, k = np.unique(x, return_counts=True)
+        row[t] = k * index.idf[t] / np.linalg.norm(k * index.idf[t])
+    want, rim = set(), set()
+    for d in range(len(begins) - 1):
+        for a in latent.starts(begins[d + 1] - begins[d]) if begins[d + 1] > begins[d] else ():
+            t, k = np.unique(ids[begins[d] + a : begins[d + 1]][: latent.WINDOW], return_counts=True)
+            cos = weights[:, t] @ (k * index.idf[t]) / np.linalg.norm(k * index.idf[t])
+            want |= {(int(begins[d] + a), passages[q][0]) for q in np.flatnonzero(cos >= index.cosine + 1e-3)}
+            rim |= {(int(begins[d] + a), passages[q][0]) for q in np.flatnonzero(cos >= index.cosine - 1e-3)}
+    got = {(int(a), int(i)) for a, i, _ in zip(*index.candidates(ids, begins), strict=True)}
+    assert len(want) > 20 and want <= got <= rim
