@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from docloom.operators import inverted, nearest, retrieval, segments, tenancy
 from docloom.operators.chunk_store import ChunkStore
 from docloom.operators.intervals import as_of, overlaps
+from docloom.plans import hybrid  # noqa: F401 (registers its queries)
+from docloom.plans.catalog import QUERIES
 from docloom.sources.shared import fresh_path
 
 
@@ -46,6 +48,28 @@ def test_cells_give_what_a_full_scan_gives(spark, monkeypatch):
             assert share < 0.5, index.reads  # of all pairs of a question and a vector
 
 
+def test_scan_gives_what_rows_give(spark, monkeypatch):
+    """Groups of matrices give the rows of vector_search, for odd vectors, scopes and many equal ones too; no pair is a row."""
+    for name, value in (("SCAN_VALUES", 16 * 700), ("SCAN_QUERIES", 9), ("SCAN_LEAST", 300), ("EXACT", 1000)):
+        monkeypatch.setattr(nearest, name, value)
+    v = clustered(spark)
+    asked = v.filter("vec_id % 150 = 7 or vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("scope").alias("q_scope"))
+    odd = spark.createDataFrame([(4000, [1.0, 2.0], 0, 7), (4001, [float("nan")] * 16, 0, 7), (4002, [None] + [1.0] * 15, 0, 7), (4003, [2.0] * 16, 0, None), (4004, [0.0] * 16, 0, 7)], v.schema)
+    more = asked.unionByName(odd.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("scope").alias("q_scope")))
+    scope, self_ = [("scope", "q_scope")], [("vec_id", "query_id")]
+    for n, q, t, same, other in ((10, asked, v.filter("vec_id < 3000"), [], []), (50, asked, v.unionByName(odd), scope, self_), (25, more, v.unionByName(odd), [], self_), (3, more, odd, [], []), (3, asked.limit(0), v, [], [])):
+        rule = F.lit(True)
+        for mine, theirs in same:
+            rule = rule & (F.col(mine) == F.col(theirs))
+        for mine, theirs in other:
+            rule = rule & (F.col(mine) != F.col(theirs))
+        text = lambda df: sorted(map(str, df.select("query_id", "vec_id", "score", "rnk").collect()))
+        got = nearest.scan(q, t, n, same, other)
+        assert text(got) == text(retrieval.vector_search(q, t, n, rule))
+    for name in ("vector_topk", "refusal_rates", "model_bakeoff"):
+        assert "NestedLoop" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_thin_scopes_probe_on(spark):
     """A scope with fewer vectors than asked for gives all of them, after every cell was probed."""
     v = clustered(spark, n=1000)
