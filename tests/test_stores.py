@@ -70,6 +70,24 @@ def test_scan_gives_what_rows_give(spark, monkeypatch):
         assert "NestedLoop" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_closest_numbers(spark, monkeypatch):
+    """Of numbers with gaps and repeats the nearest, as a plain sort gives them; questions meet their neighbours only."""
+    monkeypatch.setattr(nearest, "CLOSE", 40)
+    rnd = random.Random(3)
+    ids = [rnd.randrange(-300, 300) for _ in range(300)] + [10**6 + 7 * i for i in range(60)] + [10**12 + i for i in range(5)] + [5] * 70
+    table = spark.createDataFrame([(i,) for i in [*ids, None]], "vec_id long")
+    for n in (1, 12, 500):
+        asked = spark.createDataFrame([(q,) for q in (5, -300, 0, 299, 10**5, 10**6 + 70, 10**12 + 2, 10**13, None)], "query_id long")
+        want = []
+        for (q,) in asked.filter("query_id is not null").collect():
+            near = sorted((abs(x - q), x) for x in ids if x != q)[:n]
+            want += [(q, x, -float(d), k + 1) for k, (d, x) in enumerate(near)]
+        assert sorted(map(tuple, nearest.closest(asked, table, n).collect())) == sorted(want)
+    assert nearest.closest(asked, table.limit(0), 3).count() == 0 == nearest.closest(asked.limit(0), table, 3).count()
+    for name in ("rrf_fusion", "ablation"):
+        assert "NestedLoop" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_thin_scopes_probe_on(spark):
     """A scope with fewer vectors than asked for gives all of them, after every cell was probed."""
     v = clustered(spark, n=1000)
