@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import normalized
 from docloom.operators import quality
+from docloom.sources.shared import stored
 
 TONES = ["", "̀", "̉", "̃", "́", "̣"]
 # The codes of TCVN 5712:1993 (VN1) for each vowel without a tone and with grave, hook, tilde, acute and dot below.
@@ -64,36 +68,65 @@ def to_tcvn3(text: Column) -> Column:
     return F.translate(text, "".join(TO_TCVN3), "".join(TO_TCVN3.values()))
 
 
-def from_vni(text: Column) -> Column:
-    """Pairs of a vowel and a sign first, the longest match; then codes of one character. Not composed."""
-    plain, horned = "aeouyAEOUY", "ôöÔÖ"
-    for vowels, signs, mark in ((plain + horned, VNI_TONES, ""), ("aeoAEO", VNI_CIRCUMFLEX, "̂"), ("aA", VNI_BREVE, "̆")):
-        for tone, sign in signs.items():
-            text = F.regexp_replace(text, f"(?<=[{vowels}])[{sign}{sign.upper()}]", mark + tone)
+def _from_vni() -> dict[str, str]:
+    """The letter of each pair of a vowel and a sign."""
     one = VNI_SINGLE | {k.upper(): v.upper() for k, v in VNI_SINGLE.items()}
-    return F.translate(text, "".join(one.values()), "".join(one))
+    base = {v: k for k, v in one.items()}
+    out = {}
+    for vowels, signs, mark in (("aeouyAEOUYôöÔÖ", VNI_TONES, ""), ("aeoAEO", VNI_CIRCUMFLEX, "̂"), ("aA", VNI_BREVE, "̆")):
+        for v in vowels:
+            for tone, sign in signs.items():
+                letter = unicodedata.normalize("NFC", base.get(v, v) + mark + tone)
+                out[v + sign] = out[v + sign.upper()] = letter
+    return out
+
+
+FROM_VNI = _from_vni()
+_PAIR = re.compile(f"[{''.join(sorted({k[0] for k in FROM_VNI}))}][{''.join(sorted({k[1] for k in FROM_VNI}))}]")
+_ONE = str.maketrans({v: k for k, v in (VNI_SINGLE | {k.upper(): v.upper() for k, v in VNI_SINGLE.items()}).items()})
+_CODES = str.maketrans(TO_VNI)
+
+
+@F.pandas_udf(T.StringType())
+def _vni_decoded(s: pd.Series) -> pd.Series:
+    # a sign is never a vowel, so pairs can't overlap; what they become is marked off from codes of one character by the order
+    pair = lambda m: FROM_VNI.get(m[0]) or m[0].translate(_ONE)
+
+    def decoded(t: str) -> str:
+        out, at = [], 0
+        for m in _PAIR.finditer(t):
+            out += [t[at : m.start()].translate(_ONE), pair(m)]
+            at = m.end()
+        return "".join([*out, t[at:].translate(_ONE)])
+
+    return s.map(decoded, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _vni_encoded(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t.translate(_CODES), na_action="ignore")
+
+
+def from_vni(text: Column) -> Column:
+    """Pairs of a vowel and a sign, and codes of one character, in one pass over a text."""
+    return _vni_decoded(text)
 
 
 def to_vni(text: Column) -> Column:
-    """Its opposite, for composed letters. Signs are letters too, so codes stand in private characters until all are set."""
-    signs = "".join(sorted({c for code in TO_VNI.values() for c in code if not c.isascii()}))
-    private = str.maketrans(signs, "".join(chr(0xE000 + i) for i in range(len(signs))))
-    one = {k: v.translate(private) for k, v in TO_VNI.items() if len(v) == 1}
-    text = F.translate(text, "".join(one), "".join(one.values()))
-    for letter, code in TO_VNI.items():
-        if len(code) == 2:
-            text = F.replace(text, F.lit(letter), F.lit(code.translate(private)))
-    return F.translate(text, signs.translate(private), signs)
+    """Its opposite, for composed letters."""
+    return _vni_encoded(text)
 
 
 def transcoded(df: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
     """key, legacy_encoding, norm: texts that the quality gate takes for TCVN3 or VNI in Unicode, all in normal form.
 
     The gate looks at the text as it is; decoding comes before normalization, which would drop codes that are controls
-    or soft hyphens. A text that isn't in an old code stays as it is; null becomes empty.
+    or soft hyphens. A text that isn't in an old code stays as it is; null becomes empty. Decoded texts are written once
+    in the shared folder: normalization looks at a text often, and would have it graded and decoded each time.
     """
     t = F.coalesce(F.col(col), F.lit(""))
     graded = quality.signals(df.select(key, t.alias(col), t.alias("_raw")), key, col, keep=("_raw",))
     raw = F.col("_raw")
-    text = F.when(F.col("legacy_encoding") == "tcvn3", from_tcvn3(raw)).when(F.col("legacy_encoding") == "vni", from_vni(raw)).otherwise(raw)
-    return normalized(graded.select(key, "legacy_encoding", text.alias("_text")), "_text", "norm").select(key, "legacy_encoding", "norm")
+    text = F.when(F.col("legacy_encoding") == "tcvn3", from_tcvn3(raw)).when(F.col("legacy_encoding") == "vni", from_vni(F.when(F.col("legacy_encoding") == "vni", raw))).otherwise(raw)
+    decoded, _, _ = stored(graded.select(key, "legacy_encoding", text.alias("_text")), "decoded")
+    return normalized(decoded, "_text", "norm").select(key, "legacy_encoding", "norm")
