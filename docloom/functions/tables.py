@@ -1,4 +1,8 @@
-"""Table functions for SQL: SELECT * FROM sentences_of(text), and chunk_text(text). They run in the JVM only."""
+"""Functions for SQL: SELECT * FROM sentences_of(text), chunk_text(text), and sentence_list(text). They run in the JVM only.
+
+Spark joins the rows of a table function with its argument, so over a table whose texts are large sentences_of shuffles them,
+twice; sentence_list works in a text's row.
+"""
 
 from __future__ import annotations
 
@@ -20,11 +24,13 @@ def sentence_sql(t: str = "t") -> str:
 
 
 def register(spark: SparkSession) -> None:
-    """Define the functions in the session: sentences_of(t), lexemes_of(t), chunk_text(t, size, overlap).
+    """Define the functions in the session: sentence_list(t), sentences_of(t), chunk_text(t, size, overlap).
 
     Their rows are those of segments.sentences, retrieval.postings and segments.fixed_chunks for one text in normal form,
-    as in `SELECT d.doc_id, s.* FROM docs d, LATERAL sentences_of(d.norm) s`. A null or empty text has no rows.
+    as in `SELECT d.doc_id, s.* FROM docs d, LATERAL sentences_of(d.norm) s`. A null or empty text has no rows. sentence_list
+    gives the sentences of sentences_of as an array, for LATERAL VIEW.
     """
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sentence_list(t STRING) RETURNS ARRAY<STRING> RETURN {sentence_sql()}")
     starts = "transform(a, (s, i) -> struct(i AS no, s AS sentence))"
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION sentences_of(t STRING) RETURNS TABLE (sent_no INT, sentence STRING)
